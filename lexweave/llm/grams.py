@@ -8,22 +8,26 @@ import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FIN = np.uint64(0xD6E8FEB86659FD93)
-_solid: np.ndarray | None = None
-
-
-def solid_table() -> np.ndarray:
-    """True for code points of letters and digits; built once per worker."""
-    global _solid
-    if _solid is None:
-        kinds = np.frompyfunc(lambda c: chr(c).isalnum(), 1, 1)
-        t = np.zeros(0x110000, dtype=bool)
-        low = np.arange(0x3400)
-        t[low] = kinds(low).astype(bool)
-        t[0x3400:0x4DC0] = t[0x4E00:0xA000] = t[0x20000:0x32000] = True
-        rest = np.r_[np.arange(0xA000, 0xD800), np.arange(0xF900, 0x20000)]
-        t[rest] = kinds(rest).astype(bool)
-        _solid = t
-    return _solid
+_tables: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its compatibility-composed, case-folded form where that is one character, and whether that
+    is a letter or digit. Built once per worker; ideographs fold to themselves."""
+    global _tables
+    if _tables is None:
+        fold = np.arange(0x110000, dtype=np.uint32)
+        solid = np.zeros(0x110000, dtype=bool)
+        solid[0x3400:0x4DC0] = solid[0x4E00:0xA000] = solid[0xAC00:0xD7A4] = solid[0x20000:0x32000] = True
+        for c in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20)]:
+            f = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", chr(c)).casefold())
+            if len(f) == 1:
+                fold[c] = ord(f)
+                solid[c] = f.isalnum()
+            else:
+                solid[c] = chr(c).isalnum()
+        _tables = fold, solid
+    return _tables
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -34,11 +38,12 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def letters_only(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and digits of the compatibility-composed, case-folded texts, and where each text starts."""
-    chars, starts = code_points([t if t.isascii() and t.islower() else unicodedata.normalize("NFKC", t).casefold() for t in texts])
-    keep = solid_table()[chars]
+    """Folded letters and digits of the texts in one array, and where each text starts in it."""
+    fold, solid = letter_tables()
+    chars, starts = code_points(texts)
+    keep = solid[chars]
     at = np.concatenate([[0], np.cumsum(keep)])
-    return chars[keep], at[starts]
+    return fold[chars[keep]], at[starts]
 
 
 def gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:

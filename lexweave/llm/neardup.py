@@ -6,7 +6,7 @@ equal body are exact copies and are represented by their lowest id from then on.
 Method, a Gray-order hierarchical index:
 1. Fingerprints. The 4-grams of a body are drawn into SLOTS weighted minima (a gram found in many texts weighs less;
    counts come from all texts, in a sketch of fixed size). One bit of each slot makes the 64-bit fingerprint.
-2. Masks. Pairs of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
+2. Masks. Triples of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
    top of a hierarchy: its fingerprints are sorted by Gray rank, every FAN neighbours are factored into a node that
    keeps the bits they all share, FAN nodes into an upper node and so on.
 3. Search. The hierarchy is joined with itself from the top; a pair of nodes is dropped with everything below it as
@@ -41,10 +41,10 @@ from lexweave.runtime import materialize
 
 GRAM = 4
 SLOTS = 64
-TABLES = 16
+TABLES = 21
 COUNTERS = 1 << 20
 COMMON = 1 / 1000
-RADIUS = 26
+RADIUS = 22
 SAME = 0.55
 FAN = 8
 MAX_GROUP = 4096
@@ -57,7 +57,7 @@ def bodies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_weights(texts: DataFrame) -> np.ndarray:
-    """Inverse weight of each counter: how much more common its grams are than COMMON of all texts, at least 1."""
+    """Inverse weight of each counter: the square of how much more common its grams are than COMMON of all texts, at least 1."""
     part = COUNTERS // 32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def gram_weights(texts: DataFrame) -> np.ndarray:
     if not got:
         return np.ones(COUNTERS, dtype=np.float32)
     usual = max(8.0, COMMON * float(got[32][0]))
-    return np.maximum(1.0, np.concatenate([got[i] for i in range(32)]) / usual).astype(np.float32)
+    return np.square(np.maximum(1.0, np.concatenate([got[i] for i in range(32)]) / usual)).astype(np.float32)
 
 
 def sketches(chars: np.ndarray, starts: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +118,11 @@ def fingerprints(slots: np.ndarray) -> np.ndarray:
 
 
 def masks(slots: np.ndarray) -> np.ndarray:
-    """(texts, TABLES): the table and two slots as one number. Slots are reused at another distance beyond SLOTS / 2 tables."""
+    """(texts, TABLES): for each table a hash of three slots of its own, the masked pattern a group shares."""
     out = np.empty((len(slots), TABLES), dtype=np.int64)
     for t in range(TABLES):
-        a, b = (2 * t, 2 * t + 1) if t < SLOTS // 2 else (t - SLOTS // 2, (t - SLOTS // 2 + 17) % SLOTS)
-        out[:, t] = (np.int64(t) << 32) | (slots[:, a].astype(np.int64) << 16) | slots[:, b].astype(np.int64)
+        a, b, c = (slots[:, 3 * t + i].astype(np.uint64) for i in range(3))
+        out[:, t] = (((a << np.uint64(32) | b << np.uint64(16) | c) << np.uint64(5)) + np.uint64(t)).view(np.int64)
     return out
 
 
