@@ -16,7 +16,6 @@ grade the level is null. A text without any word node gets the level of the mean
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.grams import code_points, gram_hashes, gram_owner, slices
+from lexweave.llm.grams import code_points, gram_hashes, gram_owner, letter_tables, slices
 from lexweave.runtime import materialize, release
 
 NODES = 1 << 16
@@ -37,32 +36,32 @@ ITERATIONS = 5
 CLAMP_WEIGHT = 4.0
 PRIOR = 5.0
 LEVELS = 5
-_WORD = re.compile(r"[a-zß-ÿ]+")
 BLANK = "(?U)^[\\s\\x{feff}\\x{200b}]*$"
 
 
 def word_nodes(texts: list[str]) -> list[bytes]:
     """The distinct word nodes of each text as little-endian 16-bit numbers."""
-    folded = [t.casefold() for t in texts]
-    chars, starts = code_points(folded)
+    fold, _ = letter_tables()
+    chars, starts = code_points(texts)
+    chars = fold[chars]
+    small = len(texts) < 1 << 16
+    kind = np.uint32 if small else np.uint64
     h = gram_hashes(chars, GRAM) >> np.uint64(48)
     owner, whole = gram_owner(starts, GRAM, len(h))
-    keys = [(owner[whole].astype(np.int64) << 16) | h[whole].astype(np.int64)]
-    words, whose = [], []
-    for i, t in enumerate(folded):
-        found = set(_WORD.findall(t))
-        words.extend(found)
-        whose.extend([i] * len(found))
-    if words:
-        wc, ws = code_points(words)
-        acc = np.zeros(len(words), dtype=np.uint64)
+    keys = [(owner[whole].astype(kind) << kind(16)) | h[whole].astype(kind)]
+    latin = np.flatnonzero(((chars >= 97) & (chars <= 122)) | ((chars >= 0xDF) & (chars <= 0xFF)))
+    if len(latin):
+        whose = np.searchsorted(starts, latin, side="right") - 1
+        first = np.flatnonzero(np.r_[True, (latin[1:] != latin[:-1] + 1) | (whose[1:] != whose[:-1])])
+        place = np.arange(len(latin)) - np.repeat(first, np.diff(np.r_[first, len(latin)]))
         with np.errstate(over="ignore"):
-            np.add.at(acc, np.repeat(np.arange(len(words)), np.diff(ws)), (wc.astype(np.uint64) + np.uint64(7)) * (np.arange(len(wc), dtype=np.uint64) - ws[:-1].astype(np.uint64).repeat(np.diff(ws)) + np.uint64(3)) ** np.uint64(5))
-            acc = (acc * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
-        keys.append((np.array(whose, dtype=np.int64) << 16) | acc.astype(np.int64))
-    u = np.unique(np.concatenate(keys))
-    cut = np.searchsorted(u, np.arange(len(texts) + 1) << 16)
-    flat = (u & 0xFFFF).astype("<u2")
+            part = (chars[latin].astype(np.uint64) + np.uint64(7)) * (place.astype(np.uint64) + np.uint64(3)) ** np.uint64(5)
+            word = (np.add.reduceat(part, first) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)
+        keys.append((whose[first].astype(kind) << kind(16)) | word.astype(kind))
+    u = np.sort(np.concatenate(keys))
+    u = u[np.r_[True, u[1:] != u[:-1]]] if len(u) else u
+    cut = np.searchsorted(u, (np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(16)))
+    flat = (u & kind(0xFFFF)).astype("<u2")
     return [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
 
 
