@@ -13,7 +13,7 @@ round, and a landing step over the last few picks the rounding closest to the ba
 Scale: texts are read once, for counting; after that only (id, source, tokens) moves. Blocks hold at most BLOCK rows
 whatever the size of a source. What reaches the driver is one row per source.
 
-Null and blank texts, null sources and sources without target are left out; source spellings are folded (case, blanks,
+Null and blank texts, null ids, null sources and sources without target are left out; source spellings are folded (case, blanks,
 hyphens). A target without documents is reported with zero; null shares count as 0, null repeats as 1.
 """
 
@@ -67,7 +67,7 @@ def sized_documents(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER)
     """(doc_id, source, tokens): one row per distinct text of a target's source."""
     t = targets.select(canonical_source(F.col("source")).alias("source")).where("source is not null").distinct()
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical_source(F.col("source")).alias("source"), F.col("text").alias("_t"))
-    d = d.where(~F.col("_t").rlike("(?U)^\\s*$")).join(t, "source", "left_semi")
+    d = d.where("doc_id is not null").where(~F.col("_t").rlike("(?U)^\\s*$")).join(t, "source", "left_semi")
     d = d.select("doc_id", "source", token_count(F.col("_t"), path).alias("tokens"), F.xxhash64("_t").alias("h1"), F.xxhash64("_t", F.lit(1)).alias("h2"))
     one = d.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("m"))
     return one.select("m.doc_id", "m.source", "m.tokens")

@@ -19,7 +19,7 @@ MAX_GROUP (found by a sample of ids, only to plan) are split into Gray-rank bloc
 bounded size, so no row is dropped and none waits for a hot group. Classes come from connected components over the
 links between representatives, with written tables as cut lineage; nothing of the corpus goes to the driver.
 
-Null texts and texts without letters belong to no group. Bodies under four letters match exact copies only.
+Null texts, null ids and texts without letters belong to no group; a row repeated as a whole counts once. Bodies under four letters match exact copies only.
 """
 
 from __future__ import annotations
@@ -296,11 +296,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives."""
-    src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where(F.length("t") > 0)
+    src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and length(t) > 0")
     rows = materialize(_sketched(src, gram_weights(src.select("t"))), "dup-sketches")
     one = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "fp", "slots")).alias("m"))
     reps = materialize(one.select("h1", "h2", "m.id", "m.fp", "m.slots"), "dup-representatives")
-    members = rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
+    members = rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()
     found = materialize(candidate_pairs(reps), "dup-candidates")
     both = found.join(src.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(src.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint, share double"), "dup-links")
@@ -315,7 +315,7 @@ def duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
     several = members.groupBy("rep").count().where("count > 1").select("rep")
     copies = members.join(several, "rep")
     same = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    return linked.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return linked.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def duplicate_classes(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:

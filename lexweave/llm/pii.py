@@ -6,7 +6,8 @@ stands left, right and near it. Expectation-maximisation over the counts of vote
 labeller is; its posteriors train the final span classifier, a logistic regression over votes, length and neighbouring
 characters, which decides every span. Of overlapping spans the more probable, then longer one stays.
 
-Scale: messages are read once for the spans (no shuffle) and the spans written to the shared folder; vote patterns are
+Scale: messages are read once for the spans (no shuffle), a second time for redaction; the spans are written to the
+shared folder; vote patterns are
 counted in Spark, at most 3 ** 6 per kind reach the driver, and TRAIN_ROWS spans of them train the classifier. All
 messages are scored.
 
@@ -262,15 +263,20 @@ def redact(messages: DataFrame) -> DataFrame:
     proposed = materialize(propose(messages), "pii-spans")
     weights = train(proposed)
 
+    def clean(t: str | None) -> str | None:
+        found = spans(t) if t else []
+        if not found:
+            return t
+        scored = []
+        for k, a, b in found:
+            v = vote_string(t, k, a, b, found)
+            scored.append({"kind": k, "a": a, "b": b, "features": _features(t, k, a, b, v)})
+        for k, x, y, _ in reversed(choose(scored, weights)):
+            t = f"{t[:x]}[{k}]{t[y:]}"
+        return t
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for k, x, y, _ in reversed(choose(s, weights)):
-                    t = f"{t[:x]}[{k}]{t[y:]}"
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["msg_id", "clean"])
-
-    clean = proposed.mapInArrow(run, "msg_id bigint, clean string").dropDuplicates(["msg_id"])
-    base = messages.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.col("content").cast("string").alias("content"))
-    return base.join(clean, "msg_id", "left").select("msg_id", F.coalesce("clean", "content").alias("content"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([clean(t) for t in b.column(1).to_pylist()], pa.string())], names=["msg_id", "content"])
+
+    return messages.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.col("content").cast("string").alias("content")).mapInArrow(run, "msg_id bigint, content string")
