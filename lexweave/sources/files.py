@@ -26,8 +26,19 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session_meta(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, pinned) of one JSON file; a missing entry or a broken file has no rows."""
-    raw = spark.read.text(path, wholetext=True)
+    """(session_id, pinned) of one JSON file; a missing entry, file or a broken file has no rows.
+
+    The file's name begins with a dot, which Spark's readers pass over, so it is opened by the file system.
+    """
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = ""
+    if fs.exists(p):
+        stream = fs.open(p)
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+    raw = spark.createDataFrame([(text,)], "value string")
     return raw.select(F.explode(F.coalesce(F.from_json("value", META_JSON), F.create_map().cast(META_JSON))).alias("session_id", "m")).select("session_id", F.coalesce("m.pinned", F.lit(False)).alias("pinned"))
 
 
