@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm.grams import gram_hashes, gram_owner, letters_only, slices
 from lexweave.llm.unify import ordinary
-from lexweave.runtime import materialize
+from lexweave.runtime import materialize, release
 
 GRAM = 4
 SLOTS = 64
@@ -261,7 +261,9 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         rows = masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", own)
         rows = rows.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).select("mask", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", "fp")
     rows = rows.repartition("mask", "lo", "hi").sortWithinPartitions("mask", "lo", "hi")
-    return rows.mapInArrow(_joined, "a bigint, b bigint").distinct()
+    out = materialize(rows.mapInArrow(_joined, "a bigint, b bigint").distinct(), "dup-candidates")
+    release(hot)
+    return out
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +303,13 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
     one = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "fp", "slots")).alias("m"))
     reps = materialize(one.select("h1", "h2", "m.id", "m.fp", "m.slots"), "dup-representatives")
     members = rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()
-    found = materialize(candidate_pairs(reps), "dup-candidates")
+    found = candidate_pairs(reps)
     both = found.join(src.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(src.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint, share double"), "dup-links")
-    return materialize(members, "dup-members"), links
+    members = materialize(members, "dup-members")
+    for done in (found, reps, rows):
+        release(done)
+    return members, links
 
 
 def duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -324,12 +329,14 @@ def duplicate_classes(df: DataFrame, key: str = "chunk_id", text: str = "text")
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     label = materialize(edges.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "dup-labels")
+    last = label
     while True:
         near = edges.join(label.select(F.col("rep").alias("b"), "c"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("c").alias("n"))
         step = label.join(near, "rep", "left").select("rep", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c"))
         hop = step.select(F.col("rep").alias("c"), F.col("c").alias("top"))
         new = materialize(step.join(hop, "c", "left").select("rep", "old", F.coalesce("top", "c").alias("c")), "dup-labels")
-        label = new.select("rep", "c")
+        release(last)
+        last, label = new, new.select("rep", "c")
         if new.where("c <> old").isEmpty():
             break
     out = members.join(label, "rep", "left").join(degree, "rep", "left")
