@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # White space, numerals of article labels, and heading patterns of statutes.
 WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANKS = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 NUM = "[一二三四五六七八九十百千零〇0-9]+"
 PART, CHAPTER, SECTION = (f"^第{NUM}{c}" for c in "编章节")
 ARTICLE = f"第{NUM}[{WS}]*条"
@@ -68,12 +69,8 @@ def heading_lines(kind: str) -> str:
 
 def char_tokens(c: Column) -> Column:
     """One token per character that is not blank."""
-    return F.regexp_extract_all(c, F.lit(f"[^{WS}]"), F.lit(0))
-
-
-def occurrences(c: Column, token: str) -> Column:
-    """How often one character occurs, without exploding the text."""
-    return F.length(c) - F.length(F.replace(c, F.lit(token), F.lit("")))
+    solid = F.regexp_replace(c, f"[{WS}]+", "")
+    return F.when(solid == "", F.array().cast("array<string>")).otherwise(F.split(solid, ""))
 
 
 def md5_hex(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Retrieval: BM25 over characters, exact vector search, reciprocal rank fusion.
 
-BM25 of one query explodes no text: document frequencies come from one aggregation over distinct characters (the
-vocabulary bounds what is shuffled), term frequencies of the query's few characters from string lengths. Lists are cut
+BM25 of one query explodes no text: characters are counted on arrays of code points per Arrow batch, frequencies are
+summed per task before they move (the vocabulary bounds what is shuffled), and scoring is one pass. Lists are cut
 by orderBy + limit, which Spark runs as a top-k per partition. Ties go to the smaller id.
 """
 
@@ -19,12 +19,41 @@ from lexweave.config import DEFAULT, Config
 from lexweave.functions import text as X
 
 
-def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, tf, df): occurrences and documents of every character."""
-    toks = docs.select(X.char_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    tf = toks.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("tf"))
-    df = toks.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return tf.join(df, "token")
+def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of every character of a partition, counted on arrays of code points."""
+    blank = np.zeros(0x110000, dtype=bool)
+    blank[X.BLANKS] = True
+    tf, df = np.zeros(0x110000, dtype=np.int64), np.zeros(0x110000, dtype=np.int64)
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        at = 0
+        while at < len(texts):
+            # At most 2048 texts at once, so a text's number and a code point share 32 bits.
+            end, size = at, 0
+            while end < len(texts) and end - at < 2048 and (end == at or size < 1_000_000):
+                size += len(texts[end])
+                end += 1
+            part = texts[at:end]
+            chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            owner = np.repeat(np.arange(len(part), dtype=np.uint32), [len(t) for t in part])
+            keep = ~blank[chars]
+            chars, owner = chars[keep], owner[keep]
+            tf += np.bincount(chars, minlength=0x110000)
+            pairs = np.sort((owner << np.uint32(21)) | chars)
+            first = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+            df += np.bincount(first & np.uint32(0x1FFFFF), minlength=0x110000)
+            at = end
+    found = np.flatnonzero(tf)
+    yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found], pa.string()), pa.array(tf[found]), pa.array(df[found])], names=["token", "tf", "df"])
+
+
+def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(token, tf, df): occurrences and documents of every character.
+
+    Counted per partition before anything moves: what is shuffled is one row per distinct character and task.
+    """
+    part = docs.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(_count_characters, "token string, tf bigint, df bigint")
+    return part.groupBy("token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def term_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,7 +63,7 @@ def term_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def idf_table(docs: DataFrame, text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
     """(token, idf) with negative values raised to epsilon times the mean of all."""
-    toks = docs.select(F.explode(F.array_distinct(X.char_tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    toks = term_statistics(docs, text).select("token", "df")
     n = docs.agg(F.count("*").cast("double").alias("n"))
     raw = toks.crossJoin(F.broadcast(n)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -42,21 +71,37 @@ def idf_table(docs: DataFrame, text: str = "text", cfg: Config = DEFAULT) -> Dat
 
 
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
-    """(key, score) of every document; repeated query characters count repeatedly."""
+    """(key, score) of every document; repeated query characters count repeatedly; null texts count as empty.
+
+    The corpus statistics that come to the driver are one row per distinct character, bounded by Unicode.
+    """
     tokens = [c for c in query if not c.isspace()]
-    distinct = sorted(set(tokens))
-    idf = {r["token"]: r["idf"] for r in idf_table(docs, text, cfg).where(F.col("token").isin(distinct)).collect()} if distinct else {}
-    t = F.coalesce(F.col(text), F.lit(""))
-    dl = F.length(F.regexp_replace(t, f"[{X.WS}]+", ""))
-    avg = docs.agg(F.avg(dl).alias("a")).first()["a"] or 1.0
-    part = F.lit(0.0)
-    norm = F.lit(cfg.bm25_k1) * (F.lit(1 - cfg.bm25_b) + F.lit(cfg.bm25_b) * F.col("_dl") / F.lit(float(avg)))
-    base = docs.select(key, dl.cast("double").alias("_dl"), *[X.occurrences(t, c).cast("double").alias(f"_tf{i}") for i, c in enumerate(distinct)])
-    for i, c in enumerate(distinct):
-        if c in idf:
-            tf = F.col(f"_tf{i}")
-            part = part + F.lit(tokens.count(c) * idf[c]) * tf * F.lit(cfg.bm25_k1 + 1) / (tf + norm)
-    return base.select(key, part.alias("score"))
+    n = docs.count()
+    stats = term_statistics(docs, text).collect()
+    raw = {r["token"]: math.log(n - r["df"] + 0.5) - math.log(r["df"] + 0.5) for r in stats}
+    mean = math.fsum(raw.values()) / max(1, len(raw))
+    wanted = [(ord(c), tokens.count(c) * (raw[c] if raw[c] >= 0 else cfg.bm25_epsilon * mean)) for c in sorted(set(tokens)) if c in raw]
+    average = sum(r["tf"] for r in stats) / max(1, n) or 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = np.zeros(0x110000, dtype=bool)
+        blank[X.BLANKS] = True
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+            score = np.zeros(len(texts))
+            for a in range(0, len(texts), 1000):
+                part = texts[a : a + 1000]
+                chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                ends = np.concatenate([[0], np.cumsum(sizes[a : a + 1000])])
+                inside = lambda at, ends=ends: np.diff(np.searchsorted(at, ends)).astype(float)
+                norm = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * (np.diff(ends) - inside(np.flatnonzero(blank[chars]))) / average)
+                for c, weight in wanted:
+                    tf = inside(np.flatnonzero(chars == c))
+                    score[a : a + 1000] += weight * tf * (cfg.bm25_k1 + 1) / (tf + norm)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=[key, "score"])
+
+    return docs.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, score double")
 
 
 def top(scored: DataFrame, key: str, k: int, descending: bool = True, column: str = "score") -> DataFrame:

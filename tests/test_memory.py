@@ -103,3 +103,19 @@ def test_display(spark):
     m = spark.createDataFrame(rows, "msg_id int, session_id string, pos bigint, type string, content string")
     got = {(r.session_id, r.pos): (r.role, r.content) for r in S.display_history(m).collect()}
     assert got[("b", 0)] == ("user", "q") and got[("b", 1)] == ("assistant", "note") and got[("a", 0)][0] == "assistant" and len(got) == 3
+
+
+def test_small_session_functions(spark):
+    from lexweave.functions import text as X
+
+    lst = spark.createDataFrame([("chat_a",)], "session_id string").selectExpr("session_id", "true as pinned", "cast(null as timestamp_ntz) as last_stored")
+    assert sorted((r.place, r.session_id) for r in S.with_active(lst, "chat_new").collect()) == [(0, "chat_new"), (1, "chat_a")]
+    assert S.with_active(lst, "chat_a").count() == 1
+    meta = spark.createDataFrame([("a", True, 1)], "session_id string, pinned boolean, updated_at int")
+    assert {r.session_id: r.pinned for r in S.set_pins(meta, spark.createDataFrame([("a", False, 2), ("b", True, 1)], meta.schema)).collect()} == {"a": False, "b": True}
+    assert S.is_pinned(meta, "a").first().pinned and S.is_pinned(meta, "z").count() == 0
+    assert spark.range(3).select(X.new_session_id().alias("s")).where(F.col("s").rlike(X.VALID_SESSION_ID)).count() == 3
+    text = spark.createDataFrame([("第一编　总则\n第一章\n第二条　见第九条",)], "t string")
+    r = text.select(X.last_match(F.col("t"), X.ARTICLE).alias("a"), X.last_match(F.col("t"), X.heading_lines("章")).alias("c"), X.last_match(F.col("t"), X.heading_lines("节")).alias("s"), X.all_matches(F.col("t"), X.ARTICLE).alias("l")).first()
+    assert (r.a, r.c, r.s, r.l) == ("第九条", "第一章\n第二条　见第九条", None, ["第二条", "第九条"])
+    assert M.summary_prompt is not None and spark.range(1).select(M.summary_prompt(F.lit(""), F.lit("x")).alias("p")).first().p.count("（无）") == 1
