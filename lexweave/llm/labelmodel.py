@@ -11,11 +11,11 @@ import numpy as np
 _AT = {"-": 0, "0": 1, "+": 2}
 
 
-def posteriors(counts: dict[str, int], prior: float = 0.1, rounds: int = 50, trust: float = 4.0) -> dict[str, float]:
+def posteriors(counts: dict[str, int], prior: float = 0.1, rounds: int = 50, trust: float = 4.0, most_cases: float = 0.6) -> dict[str, float]:
     """Probability of a case for each vote pattern.
 
     Reliabilities start from votes that are right more often than not and are held there by pseudo-counts in
-    proportion to the data (trust as odds), so the classes cannot change places.
+    proportion to the data (trust as odds), so the classes cannot change places. most_cases bounds the share of cases.
     """
     patterns = sorted(counts)
     if not patterns:
@@ -34,7 +34,7 @@ def posteriors(counts: dict[str, int], prior: float = 0.1, rounds: int = 50, tru
             pseudo = base[c] * (1 + 0.02 * w.sum())
             t = np.tensordot(w, hot, axes=(0, 0)) + pseudo / pseudo.sum() * max(4.0, 0.05 * w.sum())
             table[c] = t / t.sum(axis=1, keepdims=True)
-        share = min(0.6, max(1e-4, float((post * n).sum() + 1) / (n.sum() + 2 / max(prior, 1e-6))))
+        share = min(most_cases, max(1e-4, float((post * n).sum() + 1) / (n.sum() + 2 / max(prior, 1e-6))))
         log = np.log(share) - np.log1p(-share) + sum(np.log(table[1][j, votes[:, j]]) - np.log(table[0][j, votes[:, j]]) for j in range(k))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
         if np.abs(new - post).max() < 1e-6:

@@ -43,12 +43,14 @@ _HAN = "一-鿿"
 
 # Frequent Chinese surnames, single and double, and words that stand for a person but name none.
 SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文庞樊兰殷施陶翟安颜倪严牛温芦季俞章鲁葛韦毕聂焦卓屈祁晏闵郁覃霍滕茅蒙阮柏尤向左齐岳梅管祝柳"
-DOUBLE_SURNAMES = ("欧阳", "司徒", "宇文", "上官", "诸葛", "司马", "夏侯", "东方", "皇甫", "尉迟", "慕容", "令狐", "长孙", "公孙", "端木", "百里", "南宫", "轩辕")
+DOUBLE_SURNAMES = ("欧阳", "司徒", "宇文", "上官", "诸葛", "司马", "夏侯", "东方", "皇甫", "尉迟", "慕容", "令狐", "长孙", "公孙", "端木", "百里", "南宫", "轩辕", "澹台", "呼延", "拓跋", "钟离", "闻人", "申屠", "公冶", "濮阳", "淳于", "太叔", "仲孙", "鲜于", "赫连", "独孤", "西门", "东郭", "梁丘", "左丘", "乐正", "东门", "南门", "羊舌", "万俟")
 STAND_INS = ("张三", "李四", "王五", "赵六", "小明", "小红", "某某", "路人")
 TITLES = "先生|女士|小姐|律师|法官|老师|经理|医生|师傅|阿姨|同志|主任|教授"
 KIN = "妻子|丈夫|老公|老婆|儿子|女儿|父亲|母亲|爸爸|妈妈|哥哥|姐姐|弟弟|妹妹|朋友|同事|邻居|房东|老板|前夫|前妻|客户|室友"
 _NAME_START = f"叫做?|名叫|姓名(?:是|为)?[:：=]?\\s?|名字(?:是|为)?[:：]?|本人(?:是|叫)?|我是|收件人[:：]?\\s?|联系人[:：]?\\s?|经办人[:：]?\\s?|(?:签合同|签字|借钱|收款|付款)的人是|当事人(?:是|叫)?[:：]?|(?:{KIN})(?:是|叫)?|昨天|今天|我和|和|与|以|——\\s?|[（(]"
-_ZH_NAME = f"(?:{'|'.join(DOUBLE_SURNAMES)})[{_HAN}]{{1,2}}|[{_HAN}]{{1,4}}·[{_HAN}]{{1,4}}|[{SURNAMES}][{_HAN}]{{1,2}}"
+#: A character of a given name: none of the small words that follow a name.
+_G = f"(?:(?![的是又和与说在把被给找留您你我他她已跟])[{_HAN}])"
+_ZH_NAME = f"(?:{'|'.join(DOUBLE_SURNAMES)}){_G}{{1,2}}|{_G}{{1,4}}·{_G}{{1,4}}|[{SURNAMES}]{_G}{{1,2}}"
 _ZH_STOP = f"(?=[，。、；：！？,.;:!?（()）\\s“”\"]|$|的|又|是|留|和|与|先生|女士|{TITLES}|说|您好|你好|\\d|[０-９]|已|在|把|跟|；|;)"
 _EN_NAME = r"[A-Z][a-z]+(?:\s[A-Z]\.)?(?:\s[A-Z][a-z]+){1,2}"
 _EN_START = r"[Mm]y name is\s|[Tt]he other side is\s|I am\s|I'm\s|[Cc]ontact(?: person)?:?\s|[Rr]ecipient:?\s|[Ss]igned:?\s|[Nn]ame:\s?|Regards,\s|Dear\s"
@@ -57,7 +59,7 @@ _NUM = "[0-9０-９]{1,5}"
 _A = f"(?:(?![在是于到为址至住按寄往的了和与及或这那我你他您被把])[{_HAN}])"
 _ADDRESS = re.compile(
     f"(?:{_A}{{1,5}}?(?:省|自治区|特别行政区))?(?:{_A}{{1,5}}?(?:市|自治州|地区|盟))?(?:{_A}{{1,4}}?(?:区|县|旗))?(?:{_A}{{1,4}}?(?:镇|乡|街道))?"
-    f"(?:{_A}{{1,5}}?村(?:{_A}{{1,3}}[组队])?{_NUM}号|{_A}{{1,7}}?(?:大道|胡同|路|街|巷|弄|里|道){_NUM}(?:号|弄{_NUM}号)(?:{_A}{{1,8}}?(?={_NUM}(?:栋|幢|号楼|座)))?(?:{_NUM}(?:栋|幢|号楼|座)(?:{_NUM}单元)?(?:{_NUM}室?)?)?|{_A}{{2,8}}?{_NUM}(?:栋|幢|号楼|座)(?:{_NUM}单元)?{_NUM}室?)"
+    f"(?:{_A}{{1,5}}?村(?:{_A}{{1,3}}[组队])?{_NUM}号(?!楼)|{_A}{{1,7}}?(?:大道|胡同|路|街|巷|弄|里|道){_NUM}(?:号(?!楼)|弄{_NUM}号)(?:{_A}{{1,8}}?(?={_NUM}(?:栋|幢|号楼|座)))?(?:{_NUM}(?:栋|幢|号楼|座)(?:{_NUM}单元)?(?:{_NUM}室?)?)?|{_A}{{2,8}}?{_NUM}(?:栋|幢|号楼|座)(?:{_NUM}单元)?{_NUM}室?)"
 )
 _EN_ADDRESS = re.compile(r"(?<![0-9A-Za-z_\-])\d{1,5}(?:\s[A-Z][a-z]+){1,3}\s(?:Street|St\.?|Lane|Road|Rd\.?|Close|Avenue|Ave\.?|Drive|Way|Court|Square|Place|Terrace)(?![a-z])(?:,\s?[A-Z][a-z]+(?:\s[A-Z][a-z]+)?)?(?:,?\s\d{4,6}(?![\d-]))?")
 _AT = r"(?:@|＠|\s?[\[(（]\s?at\s?[\])）]\s?|\sat\s)"
@@ -71,7 +73,7 @@ _SPELLED = re.compile("(?<![一二三四五六七八九零〇幺])[一幺][三
 _ID18 = re.compile(rf"(?<![0-9０-９A-Za-z_\-])[1-9１-９]{_D}{{5}}{_S}{_D}{{8}}{_S}{_D}{{3}}[0-9０-９XxＸｘ](?![0-9０-９A-Za-z_])")
 _ID15 = re.compile(rf"(?<![0-9０-９A-Za-z_\-])[1-9１-９]{_D}{{14}}(?![0-9０-９A-Za-z_])")
 _PASSPORT = re.compile(r"(?<![0-9A-Za-z_\-])[A-Z]{1,2}\d{7,8}(?![0-9A-Za-z_])")
-_NAMES = [re.compile(f"(?:{_NAME_START})({_ZH_NAME}){_ZH_STOP}"), re.compile(f"(?:{_EN_START})({_EN_NAME})"), re.compile(f"(?:{_NAME_START})\\s?({_EN_NAME})"), re.compile(f"({_ZH_NAME})(?=(?:{TITLES}))"), re.compile(f"(?:叫|姓名[:：=]?|本人|收件人|联系人[:：]?)([{_HAN}]{{2,3}})(?=[，；;（(\\s])"), re.compile(f"(?:^|\\n)({_ZH_NAME})(?=(?:您好|你好|，您))")]
+_NAMES = [re.compile(f"(?:{_NAME_START})({_ZH_NAME}){_ZH_STOP}"), re.compile(f"(?:{_EN_START})({_EN_NAME})"), re.compile(f"(?:{_NAME_START})\\s?({_EN_NAME})"), re.compile(f"({_ZH_NAME})(?=(?:{TITLES}))"), re.compile(f"(?:叫|姓名[:：=]?|本人|收件人|联系人[:：]?)([{_HAN}]{{2,3}})(?=[，；;（(\\s])"), re.compile(f"(?:^|\\n)({_ZH_NAME}|{_EN_NAME})(?=(?:您好|你好|，您))")]
 
 # What a labeller looks for beside a span.
 _LEFT_GOOD = {
@@ -79,7 +81,7 @@ _LEFT_GOOD = {
     "ID_NUMBER": re.compile(r"(?:身份证号?码?|证件号?码?|护照号?|passport|ID)[^，。\n]{0,6}$|[，,]\s?$", re.IGNORECASE),
     "EMAIL": re.compile(r"(?:邮箱|邮件|发到|发送到|发至|e-?mail|mail|reach me at|or)[^，。\n]{0,6}$", re.IGNORECASE),
     "ADDRESS": re.compile(r"(?:住在?|地址|住址|房子在|位于|寄到|送到|家在|按|live at|address)[^，。\n]{0,4}$|[，,：:\s（(]$", re.IGNORECASE),
-    "NAME": re.compile(r"(?:叫做?|姓名[:：=]?|名字[是:：]?|本人|收件人[:：]?|联系人[:：]?|的人是|妻子|丈夫|房东|昨天|我和|以|——\s?|name is |other side is )\s?$", re.IGNORECASE),
+    "NAME": re.compile(r"(?:叫做?|姓名[:：=]?|名字[是:：]?|本人|收件人[:：]?|联系人[:：]?|的人是|妻子|丈夫|房东|昨天|我和|以|——\s?|name is |other side is |[（(])\s?$", re.IGNORECASE),
 }
 _LEFT_BAD = re.compile(r"(?:金额|流水|订单号?|编号(?:为|是)?|下载量有?|案号是?|合同(?:编号|号)|信用代码|会话|发票|单号|票据|流水号|chat_|工号|账单)[^，。；;\n]{0,4}$")
 _RIGHT_BAD = re.compile(r"^\s?(?:元|万|次|号(?!码)|的收据|个|份|件|天|年|公里|人次|那天|%|某|公司|法院|派出所|委员会)")
@@ -88,7 +90,7 @@ _RIGHT_GOOD = {
     "ID_NUMBER": re.compile(r"^(?:[，。；;）)\s]|被|$)"),
     "EMAIL": re.compile(r"^(?:[，。；;）)\s.]|$)"),
     "ADDRESS": re.compile(r"^(?:[，。；;）)\s.]|确定|$)"),
-    "NAME": re.compile(r"^(?:[，。；;）)（(\s.]|$|的身份证|的名义|又来|是同事|留的|您好|已)"),
+    "NAME": re.compile(r"^(?:[，。；;）)（(\s.,:]|$|的身份证|的名义|又来|是同事|留[的了]|[您你]好|已)"),
 }
 _WIDE = {ord("０") + i: str(i) for i in range(10)} | {ord("Ｘ"): "X", ord("ｘ"): "X", ord("x"): "X"}
 
@@ -159,11 +161,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 def vote_string(text: str, kind: str, a: int, b: int, others: list[tuple[str, int, int]]) -> str:
     left, right, v = text[max(0, a - 14) : a], text[b : b + 6], text[a:b]
     bad = _LEFT_BAD.search(left)
+    greeted = kind == "NAME" and right[:2] in ("您好", "你好") and (not left or left[-1] in "\n>。！")
     return "".join(
         (
             _form(kind, v),
             _gazetteer(kind, v),
-            "-" if bad else "+" if _LEFT_GOOD[kind].search(left) else "0",
+            "-" if bad else "+" if greeted or _LEFT_GOOD[kind].search(left) else "0",
             "-" if _RIGHT_BAD.match(right) else "+" if _RIGHT_GOOD[kind].match(right) else "0",
             "+" if any(k != kind and (b <= x <= b + 12 or y <= a <= y + 12) for k, x, y in others) else "0",
             "-" if bad or _RIGHT_BAD.match(right) else "0",
@@ -216,7 +219,7 @@ def train(proposed: DataFrame) -> np.ndarray:
     counts: dict[str, dict[str, int]] = {k: {} for k in KINDS}
     for r in flat.groupBy("kind", "votes").count().collect():
         counts[r["kind"]][r["votes"]] = r["count"]
-    post = {k: posteriors(c, PRIOR, trust=6.0) for k, c in counts.items()}
+    post = {k: posteriors(c, PRIOR, trust=6.0, most_cases=0.98) for k, c in counts.items()}
     sample = flat.orderBy(F.xxhash64("msg_id", "a", "b", "kind"), "msg_id", "a", "b", "kind").limit(TRAIN_ROWS).select("kind", "votes", "features").collect()
     w = np.zeros(FEATURES)
     if not sample:

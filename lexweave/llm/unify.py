@@ -100,7 +100,8 @@ def _kana(text: str) -> str:
         run, before, after = m.group(), text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         if any(c not in KANA_LOOKS for c in run) or any("\u3041" <= c <= "\u309f" for c in before + after):
             return run
-        if not (_HAN.match(before) or _HAN.match(after)):
+        numbered = before in ("（", "(") and after in ("）", ")")  # an item's number in brackets
+        if not (numbered or _HAN.match(before) or _HAN.match(after)):
             return run
         return "".join(KANA_LOOKS[c] for c in run)
 

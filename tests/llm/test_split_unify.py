@@ -71,6 +71,7 @@ FAKES = {
     "第ニ○四条": "第二〇四条",
     "⻓期": "长期",
     "甲　乙": "甲 乙",
+    "（ー）拒绝": "（一）拒绝",
 }
 PLAIN = ["第一条　甲乙，丙（丁）。\r\n", "《Договор о переправах》", "《Акт о реках》", "α射线、β系数", "㎡与①和℃", "𠮷棠𣲙塘", "データ", "Zérah Ørsel São", "二〇四", "half, width; 1%", "", "ー"]
 
