@@ -8,34 +8,32 @@ from __future__ import annotations
 
 import numpy as np
 
-_AT = {"-": 0, "0": 1, "+": 2}
+_AT = {"-": -1, "0": 0, "+": 1}
 
 
 def posteriors(counts: dict[str, int], prior: float = 0.1, rounds: int = 50, trust: float = 4.0, most_cases: float = 0.6) -> dict[str, float]:
     """Probability of a case for each vote pattern.
 
     Reliabilities start from votes that are right more often than not and are held there by pseudo-counts in
-    proportion to the data (trust as odds), so the classes cannot change places. most_cases bounds the share of cases.
+    proportion to the data (trust as odds), so the classes cannot change places. An abstaining labeller says nothing
+    about the class. most_cases bounds the share of cases.
     """
     patterns = sorted(counts)
     if not patterns:
         return {}
     votes = np.array([[_AT[v] for v in p] for p in patterns])
+    yes, no = (votes > 0).astype(float), (votes < 0).astype(float)
     n = np.array([counts[p] for p in patterns], dtype=float)
-    k = votes.shape[1]
-    score = (votes - 1).sum(axis=1)
-    post = 1 / (1 + np.exp(-2.0 * (score - 0.5)))
+    post = 1 / (1 + np.exp(-2.0 * (votes.sum(axis=1) - 0.5)))
     share = prior
-    hot = np.eye(3)[votes]
-    base = {1: np.array([1.0, 1.5, trust]), 0: np.array([trust, 1.5, 1.0])}
     for _ in range(rounds):
-        table = {}
+        said = {}  # for each class the probability that a labeller which votes says "case"
         for c, w in ((1, post * n), (0, (1 - post) * n)):
-            pseudo = base[c] * (1 + 0.02 * w.sum())
-            t = np.tensordot(w, hot, axes=(0, 0)) + pseudo / pseudo.sum() * max(4.0, 0.05 * w.sum())
-            table[c] = t / t.sum(axis=1, keepdims=True)
+            pseudo = max(4.0, 0.05 * w.sum()) / (1 + trust)
+            y, o = w @ yes + pseudo * (trust if c else 1.0), w @ no + pseudo * (1.0 if c else trust)
+            said[c] = y / (y + o)
         share = min(most_cases, max(1e-4, float((post * n).sum() + 1) / (n.sum() + 2 / max(prior, 1e-6))))
-        log = np.log(share) - np.log1p(-share) + sum(np.log(table[1][j, votes[:, j]]) - np.log(table[0][j, votes[:, j]]) for j in range(k))
+        log = np.log(share) - np.log1p(-share) + yes @ (np.log(said[1]) - np.log(said[0])) + no @ (np.log1p(-said[1]) - np.log1p(-said[0]))
         new = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
         if np.abs(new - post).max() < 1e-6:
             post = new

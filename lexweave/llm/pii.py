@@ -49,7 +49,7 @@ TITLES = "先生|女士|小姐|律师|法官|老师|经理|医生|师傅|阿姨|
 KIN = "妻子|丈夫|老公|老婆|儿子|女儿|父亲|母亲|爸爸|妈妈|哥哥|姐姐|弟弟|妹妹|朋友|同事|邻居|房东|老板|前夫|前妻|客户|室友"
 _NAME_START = f"叫做?|名叫|姓名(?:是|为)?[:：=]?\\s?|名字(?:是|为)?[:：]?|本人(?:是|叫)?|我是|收件人[:：]?\\s?|联系人[:：]?\\s?|经办人[:：]?\\s?|(?:签合同|签字|借钱|收款|付款)的人是|当事人(?:是|叫)?[:：]?|(?:{KIN})(?:是|叫)?|昨天|今天|我和|和|与|以|——\\s?|[（(]"
 #: A character of a given name: none of the small words that follow a name.
-_G = f"(?:(?![的是又和与说在把被给找留您你我他她已跟])[{_HAN}])"
+_G = f"(?:(?![某的是又和与说在把被给找留您你我他她已跟])[{_HAN}])"
 _ZH_NAME = f"(?:{'|'.join(DOUBLE_SURNAMES)}){_G}{{1,2}}|{_G}{{1,4}}·{_G}{{1,4}}|[{SURNAMES}]{_G}{{1,2}}"
 _ZH_STOP = f"(?=[，。、；：！？,.;:!?（()）\\s“”\"]|$|的|又|是|留|和|与|先生|女士|{TITLES}|说|您好|你好|\\d|[０-９]|已|在|把|跟|；|;)"
 _EN_NAME = r"[A-Z][a-z]+(?:\s[A-Z]\.)?(?:\s[A-Z][a-z]+){1,2}"
@@ -129,7 +129,7 @@ def _form(kind: str, v: str) -> str:
 
 def _gazetteer(kind: str, v: str) -> str:
     if kind == "NAME":
-        return "+" if v.startswith(DOUBLE_SURNAMES) or "·" in v or v[0] in SURNAMES or v[0].isascii() else "-"
+        return "-" if any(s in v for s in STAND_INS) else "+" if v.startswith(DOUBLE_SURNAMES) or "·" in v or v[0] in SURNAMES or v[0].isascii() else "-"
     if kind == "ADDRESS":
         return "+" if re.search("省|自治区|市|区|县|镇|乡|小区|公寓|花园|苑|新村|Street|Lane|Road|Close|Avenue|路|街|巷|大道|胡同", v) else "0"
     if kind == "PHONE":
