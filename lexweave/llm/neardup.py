@@ -65,7 +65,7 @@ def gram_weights(texts: DataFrame) -> np.ndarray:
         for b in batches:
             t = b.column(0).to_pylist()
             rows += len(t)
-            for x, y in slices([len(s) for s in t], 1_000_000):
+            for x, y in slices([len(s) for s in t], 500_000):
                 chars, starts = bodies(t[x:y])
                 h = gram_hashes(chars, GRAM)
                 _, whole = gram_owner(starts, GRAM, len(h))
@@ -188,7 +188,7 @@ def _sketched(df: DataFrame, heavy: np.ndarray) -> DataFrame:
         heavy = table.value
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for x, y in slices([len(s) for s in texts], 1_000_000):
+            for x, y in slices([len(s) for s in texts], 500_000):
                 chars, starts = bodies(texts[x:y])
                 full = np.diff(starts) > 0
                 h = np.array([divmod(xxhash.xxh3_128_intdigest(chars[i:j].tobytes()), 1 << 64) for i, j in zip(starts[:-1], starts[1:])], dtype=np.uint64).reshape(-1, 2).view(np.int64)

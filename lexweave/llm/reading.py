@@ -71,7 +71,7 @@ def document_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for x, y in slices([len(t) for t in texts], 1_000_000):
+            for x, y in slices([len(t) for t in texts], 500_000):
                 yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(word_nodes(texts[x:y]), pa.binary())], names=[key, "nodes"])
 
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias(key), F.col(f"`{text}`").alias("_t")).where(~F.col("_t").rlike(BLANK))
