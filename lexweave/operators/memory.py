@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexweave.config import DEFAULT, Config
 from lexweave.functions import text as X
+from lexweave.runtime import materialize, release
 
 BLOCK = 4096
 
@@ -36,24 +37,27 @@ def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, Co
     return local.join(totals, [*keys, "_block"]).withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in values}).drop("_block", *[f"_{x}_{n}" for n in values for x in "vo"])
 
 
-def rounds(messages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Messages that are no summary, with round_id from 0: a human message opens a round unless the round is empty."""
-    m = stored_once(messages).where(~X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
+def rounds(messages: DataFrame, cfg: Config = DEFAULT, once: bool = False) -> DataFrame:
+    """Messages that are no summary, with round_id from 0: a human message opens a round unless the round is empty.
+
+    once: the messages come from stored_once() already.
+    """
+    m = (messages if once else stored_once(messages)).where(~X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
     r = running_sum(m, ["session_id"], "pos", {"humans": (F.col("type") == "human").cast("bigint")})
     first = m.groupBy("session_id").agg(F.min(F.struct("pos", (F.col("type") == "human").cast("bigint").alias("h"))).alias("f")).select("session_id", F.col("f.h").alias("opens"))
     return r.join(first, "session_id").withColumn("round_id", F.col("humans") - F.coalesce("opens", F.lit(0))).drop("humans", "opens")
 
 
-def session_rounds(messages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def session_rounds(messages: DataFrame, cfg: Config = DEFAULT, once: bool = False) -> DataFrame:
     """(session_id, rounds) of every session that has a message besides summaries."""
-    m = stored_once(messages).where(~X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
+    m = (messages if once else stored_once(messages)).where(~X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
     a = m.groupBy("session_id").agg(F.count_if(F.col("type") == "human").alias("h"), F.min(F.struct("pos", F.col("type"))).alias("f"))
     return a.select("session_id", (F.col("h") + F.when(F.coalesce(F.col("f.type") == "human", F.lit(False)), 0).otherwise(1)).alias("rounds"))
 
 
-def old_summary(messages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def old_summary(messages: DataFrame, cfg: Config = DEFAULT, once: bool = False) -> DataFrame:
     """(session_id, old_summary): the last tagged system message without its tag."""
-    s = stored_once(messages).where(X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
+    s = (messages if once else stored_once(messages)).where(X.is_summary(F.col("type"), F.col("content"), cfg.summary_tag))
     return s.groupBy("session_id").agg(F.max_by("content", "pos").alias("c")).select("session_id", X.without_tag(F.col("c"), cfg.summary_tag).alias("old_summary"))
 
 
@@ -87,24 +91,26 @@ def summary_prompt(old: Column, lines: Column, cfg: Config = DEFAULT) -> Column:
     return F.concat(F.lit(f"请更新这段对话的摘要，保留事实、诉求、结论和未决问题。{cfg.line_sep}旧摘要：{cfg.line_sep}"), F.coalesce(F.nullif(old, F.lit("")), none), F.lit(f"{cfg.line_sep}新对话：{cfg.line_sep}"), F.coalesce(F.nullif(lines, F.lit("")), none))
 
 
-def memory_state(messages: DataFrame, cfg: Config = DEFAULT, summarise=None) -> DataFrame:
+def memory_state(messages: DataFrame, cfg: Config = DEFAULT, summarise=None, once: bool = False, numbered: DataFrame | None = None) -> DataFrame:
     """(session_id, total_rounds, triggered, summary): what the compression decides per session.
 
     summarise(old, transcript) -> Column replaces the clipped transcript, e.g. by a pandas UDF that calls a model.
+    numbered: what rounds() gave for these messages, where it is at hand.
     """
-    total = session_rounds(messages, cfg).withColumnRenamed("rounds", "total_rounds")
+    numbered = rounds(messages, cfg, once) if numbered is None else numbered
+    total = session_rounds(messages, cfg, once).withColumnRenamed("rounds", "total_rounds")
     fire = total.where(F.lit(cfg.summary_enabled) & (F.col("total_rounds") >= cfg.trigger) & (F.col("total_rounds") > cfg.keep))
-    older = rounds(messages, cfg).join(fire, "session_id").where(F.col("round_id") < F.col("total_rounds") - cfg.keep)
+    older = numbered.join(fire, "session_id").where(F.col("round_id") < F.col("total_rounds") - cfg.keep)
     lines = transcript(older, cfg.summary_chars, cfg)
-    d = total.join(old_summary(messages, cfg), "session_id", "full").join(lines, "session_id", "left")
+    d = total.join(old_summary(messages, cfg, once), "session_id", "full").join(lines, "session_id", "left")
     d = d.withColumns({"total_rounds": F.coalesce("total_rounds", F.lit(0)), "triggered": F.col("transcript").isNotNull(), "old_summary": F.coalesce("old_summary", F.lit(""))})
     new = (summarise or (lambda o, t: fallback_summary(o, t, cfg)))(F.col("old_summary"), F.col("transcript"))
     return d.select("session_id", "total_rounds", "triggered", F.when(F.col("triggered"), F.substring(new, 1, cfg.summary_chars)).otherwise(F.col("old_summary")).alias("summary"))
 
 
-def kept_rounds(messages: DataFrame, state: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def kept_rounds(messages: DataFrame, state: DataFrame, cfg: Config = DEFAULT, numbered: DataFrame | None = None) -> DataFrame:
     """(session_id, round_id): recent rounds within the token budget, the newest always."""
-    r = rounds(messages, cfg).join(state, "session_id")
+    r = (rounds(messages, cfg) if numbered is None else numbered).join(state, "session_id")
     window = F.col("round_id") >= F.col("total_rounds") - cfg.keep
     r = r.where((window | ~F.col("triggered")) if cfg.lossless else window)
     per = r.groupBy("session_id", "round_id").agg(F.sum(X.message_tokens(F.col("content"))).alias("tokens"))
@@ -117,8 +123,14 @@ def kept_rounds(messages: DataFrame, state: DataFrame, cfg: Config = DEFAULT) ->
 
 
 def compress(messages: DataFrame, cfg: Config = DEFAULT, summarise=None) -> DataFrame:
-    """(session_id, ord, type, content): the history after compression; the summary, if any, comes first as ord -1."""
-    state = memory_state(messages, cfg, summarise)
-    kept = rounds(messages, cfg).join(kept_rounds(messages, state, cfg).select("session_id", "round_id"), ["session_id", "round_id"])
+    """(session_id, ord, type, content): the history after compression; the summary, if any, comes first as ord -1.
+
+    Messages stored once, their rounds and the state are each read several times, so they are written to the shared folder.
+    """
+    m = materialize(stored_once(messages), "memory-once")
+    numbered = materialize(rounds(m, cfg, True), "memory-rounds")
+    state = materialize(memory_state(m, cfg, summarise, True, numbered), "memory-state")
+    release(m)
+    kept = numbered.join(kept_rounds(m, state, cfg, numbered).select("session_id", "round_id"), ["session_id", "round_id"])
     head = state.where("summary <> ''").select("session_id", F.lit(-1).cast("bigint").alias("ord"), F.lit("system").alias("type"), F.concat(F.lit(cfg.summary_tag + cfg.line_sep), F.col("summary")).alias("content"))
     return head.unionByName(kept.select("session_id", F.col("pos").alias("ord"), "type", "content"))
