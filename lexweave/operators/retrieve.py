@@ -187,6 +187,11 @@ def rrf_fuse(lists: list[DataFrame], key: list[str], k: int = DEFAULT.final_k, r
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("first_seen")
 
 
+def by_source(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Only documents of the configured source, where one is set; for the input of either recall."""
+    return docs.where(F.col("source") == cfg.source_filter) if cfg.source_filter else docs
+
+
 class HybridRetriever:
     """Vector and keyword recall behind two callables that return ranked frames (key, rank, carried columns)."""
 

@@ -84,3 +84,11 @@ def test_document_key(spark):
     d = spark.createDataFrame([(None, "c", "1", "2", "t" * 130), ("", "c", "1", "2", "t" * 120)], "a string, b string, c string, d string, t string")
     keys = [r[0] for r in d.select(R.document_key(*(F.col(x) for x in "abcdt"))).collect()]
     assert keys[0] == keys[1]
+
+
+def test_source_filter(spark):
+    from lexweave.config import Config
+
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
+    assert [r.doc_id for r in R.by_source(d, Config(source_filter="a")).collect()] == [1]
+    assert R.by_source(d).count() == 3
