@@ -4,8 +4,9 @@ Bodies: the ordinary form of a text without its leading article label, letters a
 equal body are exact copies and are represented by their lowest id from then on.
 
 Method, a Gray-order hierarchical index:
-1. Fingerprints. The 4-grams of a body are drawn into SLOTS weighted minima (a gram found in many texts weighs less;
-   counts come from all texts, in a sketch of fixed size). One bit of each slot makes the 64-bit fingerprint.
+1. Fingerprints. The 4-grams of a body, repeats counted, are drawn into SLOTS independent minima. All grams weigh the
+   same, so two texts agree in a slot as often as their grams do, however many other texts share them. One bit of each
+   slot makes the 64-bit fingerprint.
 2. Masks. Triples of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
    top of a hierarchy: its fingerprints are sorted by Gray rank, every FAN neighbours are factored into a node that
    keeps the bits they all share, FAN nodes into an upper node and so on.
@@ -29,7 +30,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,13 +42,12 @@ from lexweave.runtime import materialize, release
 GRAM = 4
 SLOTS = 64
 TABLES = 21
-COUNTERS = 1 << 20
-COMMON = 1 / 1000
 RADIUS = 22
 SAME = 0.55
 FAN = 8
 MAX_GROUP = 4096
 SAMPLE = 64
+FACTORS = np.random.default_rng(7).integers(0, 1 << 31, SLOTS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LABEL = re.compile(r"^\s*第[^\s。，；：]{1,16}条[\s　]*")
 
 
@@ -56,59 +55,27 @@ def bodies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return letters_only([LABEL.sub("", ordinary(t), count=1) for t in texts])
 
 
-def gram_weights(texts: DataFrame) -> np.ndarray:
-    """Inverse weight of each counter: the square of how much more common its grams are than COMMON of all texts, at least 1."""
-    part = COUNTERS // 32
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(COUNTERS, dtype=np.int64), 0
-        for b in batches:
-            t = b.column(0).to_pylist()
-            rows += len(t)
-            for x, y in slices([len(s) for s in t], 500_000):
-                chars, starts = bodies(t[x:y])
-                h = gram_hashes(chars, GRAM)
-                _, whole = gram_owner(starts, GRAM, len(h))
-                total += np.bincount((h[whole] >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        blobs = [total[i * part : (i + 1) * part].astype(np.float32).tobytes() for i in range(32)]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(32), 32], pa.int32()), pa.array([*blobs, np.array([rows], dtype=np.float32).tobytes()], pa.binary())], names=["block", "sums"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in pdf["sums"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
-
-    got = {r["block"]: np.frombuffer(r["sums"], dtype=np.float32) for r in texts.mapInArrow(count, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary").collect()}
-    if not got:
-        return np.ones(COUNTERS, dtype=np.float32)
-    usual = max(8.0, COMMON * float(got[32][0]))
-    return np.square(np.maximum(1.0, np.concatenate([got[i] for i in range(32)]) / usual)).astype(np.float32)
-
-
-def sketches(chars: np.ndarray, starts: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts, SLOTS) 16-bit slot values, and which texts have any gram."""
     n = len(starts) - 1
     h = gram_hashes(chars, GRAM)
     owner, whole = gram_owner(starts, GRAM, len(h))
-    h, owner = h[whole], owner[whole]
-    u = ((h >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
-    e = (-np.log(u) * heavy[(h >> np.uint64(44)).astype(np.int64)]).astype(np.float32)
-    mixed = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(16)
-    packed = (e.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (mixed & np.uint64(0xFFFFFFFF))
-    slot = ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(58)).astype(np.int64)
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(n * SLOTS, none)
-    np.minimum.at(least, owner * SLOTS + slot, packed)
-    least = least.reshape(n, SLOTS)
-    empty = least == none
-    some = ~empty.all(axis=1)
-    for s in (1, 2, 4, 8, 16, 32):  # an empty slot takes the value of the next one that has any
-        if not empty.any():
-            break
-        near = np.roll(least, -s, axis=1)
-        take = empty & (near != none)
-        least = np.where(take, near, least)
-        empty = least == none
-    return (least & np.uint64(0xFFFF)).astype(np.uint16), some
+    key = np.sort(owner[whole].astype(np.uint64) << np.uint64(40) | h[whole] >> np.uint64(24))
+    some = np.bincount(owner[whole], minlength=n) > 0
+    slots = np.zeros((n, SLOTS), dtype=np.uint16)
+    if not len(key):
+        return slots, some
+    # The second, third ... occurrence of a gram in a text is a gram of its own, as it is in the verification.
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    again = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+    x = ((key & np.uint64((1 << 40) - 1)) + (again.astype(np.uint64) << np.uint64(40))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ((x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
+    text = np.flatnonzero(some)
+    begin = np.searchsorted(key, text.astype(np.uint64) << np.uint64(40))
+    for k, by in enumerate(FACTORS):
+        least = np.minimum.reduceat(x * by, begin)
+        slots[text, k] = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16)
+    return slots, some
 
 
 def fingerprints(slots: np.ndarray) -> np.ndarray:
@@ -180,19 +147,17 @@ def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, radius: int
     return a, b
 
 
-def _sketched(df: DataFrame, heavy: np.ndarray) -> DataFrame:
+def _sketched(df: DataFrame) -> DataFrame:
     """(id, h1, h2, fp, slots): body hash, fingerprint and slot values of every text that has letters."""
-    table = df.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = table.value
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for x, y in slices([len(s) for s in texts], 500_000):
                 chars, starts = bodies(texts[x:y])
                 full = np.diff(starts) > 0
                 h = np.array([divmod(xxhash.xxh3_128_intdigest(chars[i:j].tobytes()), 1 << 64) for i, j in zip(starts[:-1], starts[1:])], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                slots, some = sketches(chars, starts, heavy)
+                slots, some = sketches(chars, starts)
                 fp = fingerprints(slots).view(np.int64)
                 blob = [s.tobytes() if ok else None for s, ok in zip(slots, some)]
                 out = pa.RecordBatch.from_arrays([pa.array(ids[x:y]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(fp), pa.array(blob, pa.binary())], names=["id", "h1", "h2", "fp", "slots"])
@@ -299,7 +264,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives."""
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and length(t) > 0")
-    rows = materialize(_sketched(src, gram_weights(src.select("t"))), "dup-sketches")
+    rows = materialize(_sketched(src), "dup-sketches")
     one = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "fp", "slots")).alias("m"))
     reps = materialize(one.select("h1", "h2", "m.id", "m.fp", "m.slots"), "dup-representatives")
     members = rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()

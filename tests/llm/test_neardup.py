@@ -40,6 +40,18 @@ def test_pairs_against_the_planted_groups(spark, monkeypatch, hot):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_edited_copies_in_a_large_group(spark):
+    """A third of all rows is one provision, each copy with a passage of its own inserted."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 2500, n)))
+    base = fresh(280)
+    at = rng.integers(0, 240, size=120).tolist()
+    rows = [base[:i] + fresh(42) + base[i:] for i in at] + [fresh(250) for _ in range(240)]
+    d = spark.createDataFrame(list(enumerate(rows)), "chunk_id int, text string")
+    got = {(r.a, r.b) for r in N.duplicate_pairs(d).collect()}
+    assert all(b < 120 for _, b in got) and len(got) >= 0.99 * 120 * 119 / 2
+
+
 def test_classes(spark):
     rows, want = make(2, 6, 20)
     d = spark.createDataFrame(list(enumerate(rows)), "chunk_id int, text string")
