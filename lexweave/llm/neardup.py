@@ -5,16 +5,21 @@ equal body are exact copies and are represented by their lowest id from then on.
 
 Method, a Gray-order hierarchical index:
 1. Fingerprints. The 4-grams of a body, repeats counted, are drawn into SLOTS independent minima. All grams weigh the
-   same, so two texts agree in a slot as often as their grams do, however many other texts share them. One bit of each
-   slot makes the 64-bit fingerprint.
-2. Masks. Triples of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
+   same, so two texts agree in a slot as often as their grams do, however many other texts share them. PLANES bits
+   of each slot make the fingerprint.
+2. Masks. Pairs of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
    top of a hierarchy: its fingerprints are sorted by Gray rank, every FAN neighbours are factored into a node that
    keeps the bits they all share, FAN nodes into an upper node and so on.
 3. Search. The hierarchy is joined with itself from the top; a pair of nodes is dropped with everything below it as
-   soon as the differences accumulated on the shared bits exceed the radius.
+   soon as the differences accumulated on the shared bits of the first word exceed the radius; of pairs that are left at
+   most UNEQUAL slots may differ in the whole fingerprint.
 4. Verification. Pairs within the radius are compared by their texts: the share of the longer body's grams found in
    the other must reach SAME.
 
+Recall: texts of equal length at SAME have a Jaccard similarity of SAME / (2 - SAME) = 0.38 and share one of TABLES pairs of
+slots with probability 0.996; radius and UNEQUAL lie over three deviations above the differences expected there. Neither
+depends on the size of a group.
+
 Scale: ids, masks and fingerprints are shuffled TABLES times, texts once for the verification. Groups larger than
 MAX_GROUP (found by a sample of ids, only to plan) are split into Gray-rank blocks that meet pairwise in tasks of
 bounded size, so no row is dropped and none waits for a hot group. Classes come from connected components over the
@@ -40,12 +45,17 @@ from lexweave.llm.unify import ordinary
 from lexweave.runtime import materialize, release
 
 GRAM = 4
-SLOTS = 64
-TABLES = 21
-RADIUS = 22
+SLOTS = 128
+TABLES = 36
+PLANES = 4
+HALVES = SLOTS // 64
+#: Most differing bits of the first word, and most differing slots of the first 64 and of all.
+RADIUS = 33
+UNEQUAL = (51, 93)
 SAME = 0.55
 FAN = 8
 MAX_GROUP = 4096
+PAIRS = 8_000_000
 SAMPLE = 64
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, SLOTS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LABEL = re.compile(r"^\s*第[^\s。，；：]{1,16}条[\s　]*")
@@ -79,17 +89,31 @@ def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(slots: np.ndarray) -> np.ndarray:
-    """One bit of each slot."""
-    odd = slots ^ (slots >> 7)
-    return np.packbits((odd & 1).astype(np.uint8), axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    """(texts, PLANES * HALVES): a word holds one bit of 64 slots; the words of the first 64 slots alternate with the others."""
+    bits = np.concatenate([slots >> p & 1 for p in range(7, 7 + PLANES)], axis=1).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
 def masks(slots: np.ndarray) -> np.ndarray:
-    """(texts, TABLES): for each table a hash of three slots of its own, the masked pattern a group shares."""
-    out = np.empty((len(slots), TABLES), dtype=np.int64)
-    for t in range(TABLES):
-        a, b, c = (slots[:, 3 * t + i].astype(np.uint64) for i in range(3))
-        out[:, t] = (((a << np.uint64(32) | b << np.uint64(16) | c) << np.uint64(5)) + np.uint64(t)).view(np.int64)
+    """(texts, TABLES): for each table the values of two slots of its own, the masked pattern a group shares."""
+    a, b = (slots[:, i : 2 * TABLES : 2].astype(np.uint64) for i in (0, 1))
+    return ((a << np.uint64(16) | b) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(32))).view(np.int64)
+
+
+def near_pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows of f differ in few enough slots."""
+    out = np.zeros(len(a), dtype=bool)
+    words = np.ascontiguousarray(f.T)
+    for i in range(0, len(a), 500_000):
+        at, differ = np.arange(i, min(i + 500_000, len(a))), 0
+        for half, most in enumerate(UNEQUAL):
+            x, y, unlike = a[at], b[at], np.uint64(0)
+            for w in words[half::HALVES]:
+                unlike = unlike | (w[x] ^ w[y])
+            differ = differ + np.bitwise_count(unlike)
+            good = differ <= most
+            at, differ = at[good], differ[good]
+        out[at] = True
     return out
 
 
@@ -158,12 +182,12 @@ def _sketched(df: DataFrame) -> DataFrame:
                 full = np.diff(starts) > 0
                 h = np.array([divmod(xxhash.xxh3_128_intdigest(chars[i:j].tobytes()), 1 << 64) for i, j in zip(starts[:-1], starts[1:])], dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 slots, some = sketches(chars, starts)
-                fp = fingerprints(slots).view(np.int64)
+                fp = [w.tobytes() for w in fingerprints(slots)]
                 blob = [s.tobytes() if ok else None for s, ok in zip(slots, some)]
-                out = pa.RecordBatch.from_arrays([pa.array(ids[x:y]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(fp), pa.array(blob, pa.binary())], names=["id", "h1", "h2", "fp", "slots"])
+                out = pa.RecordBatch.from_arrays([pa.array(ids[x:y]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(fp, pa.binary()), pa.array(blob, pa.binary())], names=["id", "h1", "h2", "fp", "slots"])
                 yield out.filter(pa.array(full))
 
-    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, fp bigint, slots binary")
+    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, fp binary, slots binary")
 
 
 def _masked(reps: DataFrame) -> DataFrame:
@@ -172,10 +196,11 @@ def _masked(reps: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             m = masks(np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16).reshape(-1, SLOTS))
-            ids, fp = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), TABLES) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(m.reshape(-1)), pa.array(ids), pa.array(fp)], names=["mask", "id", "fp"])
+            for x in range(0, len(m), 1000):
+                row = np.repeat(np.arange(x, min(x + 1000, len(m))), TABLES)
+                yield pa.RecordBatch.from_arrays([pa.array(m[x : x + 1000].reshape(-1)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["mask", "id", "fp"])
 
-    return reps.where("slots is not null").select("id", "fp", "slots").mapInArrow(run, "mask bigint, id bigint, fp bigint")
+    return reps.where("slots is not null").select("id", "fp", "slots").mapInArrow(run, "mask bigint, id bigint, fp binary")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,18 +208,24 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        mask, lo, hi, blk, ids, fp = (t.column(i).to_numpy() for i in range(6))
+        mask, lo, hi, blk, ids = (t.column(i).to_numpy() for i in range(5))
+        fp = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PLANES * HALVES)
         group = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))])
         size = np.bincount(group)
         more = size[group] > 1
-        group, blk, ids, fp = group[more], blk[more], ids[more], fp[more].view(np.uint64)
-        order = np.lexsort((gray_rank(fp), blk, group))
+        group, blk, ids, fp = group[more], blk[more], ids[more], fp[more]
+        order = np.lexsort((gray_rank(fp[:, 0]), blk, group))
         group, blk, ids, fp = group[order], blk[order], ids[order], fp[order]
-        a, b = group_pairs(group, blk, fp)
-        x, y = ids[a], ids[b]
-        key = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), dtype=np.int64)
-        for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000, 0]), pa.array(key[i : i + 100_000, 1])], names=["a", "b"])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+        size = np.diff(np.r_[first, len(group)])
+        for i, j in slices((size * size).tolist(), PAIRS):  # groups with so many pairs at a time
+            u, v = int(first[i]), int(first[j - 1] + size[j - 1])
+            a, b = group_pairs(group[u:v], blk[u:v], fp[u:v, 0])
+            near = near_pairs(fp[u:v], a, b)
+            x, y = ids[u + a[near]], ids[u + b[near]]
+            key = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), dtype=np.int64)
+            for k in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000, 0]), pa.array(key[k : k + 100_000, 1])], names=["a", "b"])
 
     for b in batches:
         t = pa.Table.from_batches([b])

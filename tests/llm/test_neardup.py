@@ -52,6 +52,27 @@ def test_edited_copies_in_a_large_group(spark):
     assert all(b < 120 for _, b in got) and len(got) >= 0.99 * 120 * 119 / 2
 
 
+def test_candidates_at_the_threshold():
+    """Pairs of equal length that share just SAME of their grams: 99 % meet in a mask and within the radii."""
+    rng = np.random.default_rng(4)
+    met, size = 0, 280
+    for _ in range(4):
+        texts = []
+        for _ in range(500):
+            a, b = rng.integers(0x4E00, 0x4E00 + 20000, (2, size))
+            same = int(N.SAME * (size - N.GRAM + 1)) + N.GRAM
+            b[:same] = a[:same]
+            texts += [a, b]
+        slots, some = N.sketches(np.concatenate(texts).astype(np.uint32), np.arange(0, (len(texts) + 1) * size, size))
+        f, m = N.fingerprints(slots).reshape(len(texts), -1), N.masks(slots)
+        near = np.bitwise_count(f[::2, 0] ^ f[1::2, 0]) <= N.RADIUS
+        if f.shape[1] > 1:
+            near &= N.near_pairs(f, np.arange(0, len(f), 2), np.arange(1, len(f), 2))
+        met += int(((m[::2] == m[1::2]).any(axis=1) & near).sum())
+        assert some.all()
+    assert met >= 0.99 * 2000, met
+
+
 def test_classes(spark):
     rows, want = make(2, 6, 20)
     d = spark.createDataFrame(list(enumerate(rows)), "chunk_id int, text string")
