@@ -79,10 +79,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_lexweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    for df in frames:
+        path = getattr(df, "_lexweave_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
