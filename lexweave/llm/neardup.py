@@ -3,34 +3,35 @@
 Bodies: the ordinary form of a text without its leading article label, letters and digits only, case-folded. Rows of
 equal body are exact copies and are represented by their lowest id from then on.
 
-Method, a Gray-order hierarchical index:
-1. Fingerprints. The 4-grams of a body, repeats counted, are drawn into SLOTS independent minima. All grams weigh the
-   same, so two texts agree in a slot as often as their grams do, however many other texts share them. PLANES bits
-   of each slot make the fingerprint.
-2. Masks. Pairs of slots are masked bit patterns; fingerprints that share one meet in the same group. A group is the
-   top of a hierarchy: its fingerprints are sorted by Gray rank, every FAN neighbours are factored into a node that
-   keeps the bits they all share, FAN nodes into an upper node and so on.
-3. Search. The hierarchy is joined with itself from the top; a pair of nodes is dropped with everything below it as
-   soon as the differences accumulated on the shared bits of the first word exceed the radius; of pairs that are left at
-   most UNEQUAL slots may differ in the whole fingerprint.
-4. Verification. Pairs within the radius are compared by their texts: the share of the longer body's grams found in
-   the other must reach SAME.
-
-Recall: texts of equal length at SAME have a Jaccard similarity of SAME / (2 - SAME) = 0.38 and share one of TABLES pairs of
-slots with probability 0.996; radius and UNEQUAL lie over three deviations above the differences expected there. Neither
-depends on the size of a group.
-
-Scale: ids, masks and fingerprints are shuffled TABLES times, texts once for the verification. Groups larger than
-MAX_GROUP (found by a sample of ids, only to plan) are split into Gray-rank blocks that meet pairwise in tasks of
-bounded size, so no row is dropped and none waits for a hot group. Classes come from connected components over the
-links between representatives, with written tables as cut lineage; nothing of the corpus goes to the driver.
-
-Null texts, null ids and texts without letters belong to no group; a row repeated as a whole counts once. Bodies under four letters match exact copies only.
+Method, a Gray-order hierarchical index over groups that share a masked bit pattern:
+1. Fingerprints. The pairs of neighbouring characters of a body, repeats counted, are drawn into SLOTS independent
+   minima. All weigh the same, so two texts agree in a slot as often as their pairs do, however many other texts share
+   them. PLANES bits of the first 64 slots make the fingerprint, one word for each plane.
+2. Masks. WIDTH slots are a masked bit pattern; fingerprints that share one stand below the same top node. Below it
+   they are sorted by Gray rank, every FAN neighbours are factored into a node that keeps the bits they all
+   share, FAN nodes into an upper node and so on.
+3. Search. The hierarchy is joined with itself from the top. Over the bits that both nodes share the differing slots
+   are accumulated plane by plane; a pair of nodes is dropped with everything below it once they exceed UNEQUAL.
+4. Verification. Of the candidates the characters in common are counted: the 3-grams of the longer body found in the
+   other, and where that leaves a doubt only those on diagonals with enough in common. Their share must reach SAME.
+
+What prunes: the masks do most of the search, as the radius must be wide (copies with a fifth of their characters
+replaced differ in half of all slots). Nodes of different groups of copies are dropped whole; unrelated
+fingerprints share too few bits for that and are dropped at the leaves.
+
+Scale: bodies are shuffled once to merge exact copies, ids, masks and fingerprints TABLES times, and the bodies of
+candidates once a side for verification. Unrelated texts meet by their stock phrases; how many do grows with the square of
+the rows that share them, and WIDTH sets how fast. Top nodes of more than MAX_GROUP rows (found by a sample of ids, only
+to plan) are split into blocks that meet pairwise, and so are large groups of exact copies; no row is dropped and none
+waits for a hot group. Classes come from connected components over the links between representatives, with written
+tables as cut lineage; nothing of the corpus goes to the driver.
+
+Null texts, null ids and texts without letters belong to no group; a row repeated as a whole counts once. Bodies under
+two letters match exact copies only.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -40,23 +41,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.grams import gram_hashes, gram_owner, letters_only, slices
+from lexweave.llm.grams import code_points, gram_hashes, gram_owner, letters_only, slices
 from lexweave.llm.unify import ordinary
 from lexweave.runtime import materialize, release
 
-GRAM = 4
-SLOTS = 128
-TABLES = 36
+#: Characters of a gram, for the fingerprints and for the verification.
+SKETCHED, GRAM = 2, 3
+#: Slots, and of how many a mask is made; each table has slots of its own.
+SLOTS, WIDTH = 72, 3
+TABLES = SLOTS // WIDTH
 PLANES = 4
-HALVES = SLOTS // 64
-#: Most differing bits of the first word, and most differing slots of the first 64 and of all.
-RADIUS = 33
-UNEQUAL = (51, 93)
-SAME = 0.55
+#: Most of the first 64 slots of a candidate that may differ.
+UNEQUAL = 42
+#: Share of the longer body's characters that must remain in the other ("about seven tenths").
+SAME = 0.65
+#: Shares of common 3-grams that decide without a look at the diagonals.
+SURELY = (0.40, 0.85)
 FAN = 8
-MAX_GROUP = 4096
-PAIRS = 8_000_000
+MAX_GROUP = 2048
+PAIRS = 2_000_000
 SAMPLE = 64
+COPIES = 1000
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, SLOTS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LABEL = re.compile(r"^\s*第[^\s。，；：]{1,16}条[\s　]*")
 
@@ -65,20 +70,24 @@ def bodies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return letters_only([LABEL.sub("", ordinary(t), count=1) for t in texts])
 
 
+def numbered(key: np.ndarray) -> np.ndarray:
+    """For each place of a sorted array which occurrence of its value it is."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
+
+
 def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts, SLOTS) 16-bit slot values, and which texts have any gram."""
     n = len(starts) - 1
-    h = gram_hashes(chars, GRAM)
-    owner, whole = gram_owner(starts, GRAM, len(h))
+    h = gram_hashes(chars, SKETCHED)
+    owner, whole = gram_owner(starts, SKETCHED, len(h))
     key = np.sort(owner[whole].astype(np.uint64) << np.uint64(40) | h[whole] >> np.uint64(24))
     some = np.bincount(owner[whole], minlength=n) > 0
     slots = np.zeros((n, SLOTS), dtype=np.uint16)
     if not len(key):
         return slots, some
-    # The second, third ... occurrence of a gram in a text is a gram of its own, as it is in the verification.
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    again = np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
-    x = ((key & np.uint64((1 << 40) - 1)) + (again.astype(np.uint64) << np.uint64(40))) * np.uint64(0xBF58476D1CE4E5B9)
+    # The second, third ... occurrence of a gram in a text is a gram of its own.
+    x = ((key & np.uint64((1 << 40) - 1)) + (numbered(key).astype(np.uint64) << np.uint64(40))) * np.uint64(0xBF58476D1CE4E5B9)
     x = ((x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
     text = np.flatnonzero(some)
     begin = np.searchsorted(key, text.astype(np.uint64) << np.uint64(40))
@@ -89,32 +98,17 @@ def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(slots: np.ndarray) -> np.ndarray:
-    """(texts, PLANES * HALVES): a word holds one bit of 64 slots; the words of the first 64 slots alternate with the others."""
-    bits = np.concatenate([slots >> p & 1 for p in range(7, 7 + PLANES)], axis=1).astype(np.uint8)
+    """(texts, PLANES): word p holds one bit of each of the first 64 slots."""
+    bits = np.concatenate([slots[:, :64] >> p & 1 for p in range(7, 7 + PLANES)], axis=1).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
 def masks(slots: np.ndarray) -> np.ndarray:
-    """(texts, TABLES): for each table the values of two slots of its own, the masked pattern a group shares."""
-    a, b = (slots[:, i : 2 * TABLES : 2].astype(np.uint64) for i in (0, 1))
-    return ((a << np.uint64(16) | b) + (np.arange(TABLES, dtype=np.uint64) << np.uint64(32))).view(np.int64)
-
-
-def near_pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs of rows of f differ in few enough slots."""
-    out = np.zeros(len(a), dtype=bool)
-    words = np.ascontiguousarray(f.T)
-    for i in range(0, len(a), 500_000):
-        at, differ = np.arange(i, min(i + 500_000, len(a))), 0
-        for half, most in enumerate(UNEQUAL):
-            x, y, unlike = a[at], b[at], np.uint64(0)
-            for w in words[half::HALVES]:
-                unlike = unlike | (w[x] ^ w[y])
-            differ = differ + np.bitwise_count(unlike)
-            good = differ <= most
-            at, differ = at[good], differ[good]
-        out[at] = True
-    return out
+    """(texts, TABLES): for each table the values of its slots, the masked pattern a group shares, and its number."""
+    out = np.repeat(np.arange(TABLES, dtype=np.uint64)[None, :], len(slots), axis=0)
+    for i in range(WIDTH):
+        out = out * np.uint64(1 << 16) + slots[:, i::WIDTH][:, :TABLES].astype(np.uint64)
+    return out.view(np.int64)
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -125,27 +119,49 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places within the radius, in the same group; rows are sorted by (group, side, Gray rank).
+def _near(a: np.ndarray, b: np.ndarray, bits: list[np.ndarray], shared: list[np.ndarray] | None, most: int) -> np.ndarray:
+    """Places of the pairs of nodes whose accumulated differences stay within most."""
+    at, unlike = np.arange(len(a)), np.uint64(0)
+    for p, w in enumerate(bits):
+        x, y = a[at], b[at]
+        d = w[x] ^ w[y]
+        if shared is not None:
+            d &= shared[p][x] & shared[p][y]
+        unlike = unlike | d
+        good = np.bitwise_count(unlike) <= most
+        at, unlike = at[good], unlike[good]
+    return at
+
 
-    A group of one side is joined with itself, one of two sides (blocks of a split group) across.
+def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int = UNEQUAL, count: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that differ in at most so many slots, in the same group; rows are sorted by (group, side, Gray rank).
+
+    A group of one side is joined with itself, one of two sides (blocks of a split group) across. count takes how
+    many pairs of nodes were compared on each level, leaves being level 0.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(f) < 2:
         return none, none
-    # Levels of nodes: (group and side, bits all below share, their mask, first and last child).
     run = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]) | (side[1:] != side[:-1]))])
-    levels = [(run, f, np.full(len(f), np.uint64(0xFFFFFFFFFFFFFFFF)), np.arange(len(f)), np.arange(len(f)) + 1)]
+    words = [np.ascontiguousarray(w) for w in f.T]
+    # Levels of nodes: group and side, bits all below share, their mask, first and last child.
+    levels = [(run, words, None, np.arange(len(f)), np.arange(len(f)) + 1)]
     while True:
-        r, bits, mask, _, _ = levels[-1]
+        r, bits, shared, _, _ = levels[-1]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         if len(first) == len(r):
             break
         inside = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
         cut = np.flatnonzero(inside % FAN == 0)
-        low, high = np.bitwise_and.reduceat(bits, cut), np.bitwise_or.reduceat(bits & mask, cut)
-        shared = np.bitwise_and.reduceat(mask, cut) & ~(low ^ high)
-        levels.append((r[cut], low & shared, shared, cut, np.r_[cut[1:], len(r)]))
+        up_bits, up_shared = [], []
+        for p, w in enumerate(bits):
+            low = np.bitwise_and.reduceat(w, cut)
+            same = ~(low ^ np.bitwise_or.reduceat(w, cut))
+            if shared is not None:
+                same &= np.bitwise_and.reduceat(shared[p], cut)
+            up_bits.append(low & same)
+            up_shared.append(same)
+        levels.append((r[cut], up_bits, up_shared, cut, np.r_[cut[1:], len(r)]))
     r = levels[-1][0]
     g, s = group[np.searchsorted(run, r)], side[np.searchsorted(run, r)]
     many = np.diff(np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]) > 1
@@ -156,51 +172,63 @@ def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, radius: int
     a, b = np.r_[own, both], np.r_[own, both + 1]
     for level in range(len(levels) - 1, 0, -1):
         _, _, _, lo, hi = levels[level]
-        na, nb = hi[a] - lo[a], hi[b] - lo[b]
-        size = na * nb
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        nbr = np.repeat(nb, size)
-        ca, cb = np.repeat(lo[a], size) + at // np.maximum(nbr, 1), np.repeat(lo[b], size) + at % np.maximum(nbr, 1)
-        keep = ca <= cb if level > 1 else ca < cb
-        ca, cb = ca[keep], cb[keep]
-        _, bits, mask, _, _ = levels[level - 1]
-        near = np.bitwise_count((bits[ca] ^ bits[cb]) & mask[ca] & mask[cb]) <= radius
-        a, b = ca[near], cb[near]
-        if not len(a):
-            break
+        _, bits, shared, _, _ = levels[level - 1]
+        found = []
+        for i, j in slices(((hi[a] - lo[a]) * (hi[b] - lo[b])).tolist(), PAIRS):
+            pa_, pb_ = a[i:j], b[i:j]
+            nb = hi[pb_] - lo[pb_]
+            size = (hi[pa_] - lo[pa_]) * nb
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            nbr = np.repeat(nb, size)
+            ca, cb = np.repeat(lo[pa_], size) + at // nbr, np.repeat(lo[pb_], size) + at % nbr
+            keep = ca <= cb if level > 1 else ca < cb
+            ca, cb = ca[keep], cb[keep]
+            if count is not None:
+                count[level - 1] = count.get(level - 1, 0) + len(ca)
+            near = _near(ca, cb, bits, shared, most)
+            found.append((ca[near], cb[near]))
+        if not found:
+            return none, none
+        a, b = (np.concatenate(x) for x in zip(*found))
     return a, b
 
 
-def _sketched(df: DataFrame) -> DataFrame:
-    """(id, h1, h2, fp, slots): body hash, fingerprint and slot values of every text that has letters."""
+def _hashed(src: DataFrame) -> DataFrame:
+    """(id, h1, h2, body) of every text that has letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             for x, y in slices([len(s) for s in texts], 500_000):
                 chars, starts = bodies(texts[x:y])
-                full = np.diff(starts) > 0
-                h = np.array([divmod(xxhash.xxh3_128_intdigest(chars[i:j].tobytes()), 1 << 64) for i, j in zip(starts[:-1], starts[1:])], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                slots, some = sketches(chars, starts)
-                fp = [w.tobytes() for w in fingerprints(slots)]
-                blob = [s.tobytes() if ok else None for s, ok in zip(slots, some)]
-                out = pa.RecordBatch.from_arrays([pa.array(ids[x:y]), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(fp, pa.binary()), pa.array(blob, pa.binary())], names=["id", "h1", "h2", "fp", "slots"])
-                yield out.filter(pa.array(full))
+                raw = chars.astype("<u4").tobytes()
+                body = [raw[4 * i : 4 * j].decode("utf-32-le", "surrogatepass") for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                h = np.array([divmod(xxhash.xxh3_128_intdigest(raw[4 * i : 4 * j]), 1 << 64) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                out = pa.RecordBatch.from_arrays([ids.slice(x, y - x), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([b.encode("utf-8", "replace") for b in body], pa.binary())], names=["id", "h1", "h2", "body"])
+                yield out.filter(pa.array(np.diff(starts) > 0))
+
+    return src.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, body binary")
+
 
-    return df.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, fp binary, slots binary")
+def _decoded(column: pa.Array) -> list[str]:
+    return [b.decode("utf-8") for b in column.to_pylist()]
 
 
 def _masked(reps: DataFrame) -> DataFrame:
+    """(mask, id, fp): TABLES rows for every body with a gram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = masks(np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint16).reshape(-1, SLOTS))
-            for x in range(0, len(m), 1000):
-                row = np.repeat(np.arange(x, min(x + 1000, len(m))), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(m[x : x + 1000].reshape(-1)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["mask", "id", "fp"])
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _decoded(batch.column(1))
+            for x, y in slices([len(s) + 500 for s in texts], 500_000):  # at most a thousand texts at once
+                slots, some = sketches(*code_points(texts[x:y]))
+                slots, own = slots[some], ids[x:y][some]
+                if len(own):
+                    fp = pa.array([w.tobytes() for w in fingerprints(slots)], pa.binary())
+                    row = np.repeat(np.arange(len(own)), TABLES)
+                    yield pa.RecordBatch.from_arrays([pa.array(masks(slots).reshape(-1)), pa.array(own[row]), fp.take(pa.array(row))], names=["mask", "id", "fp"])
 
-    return reps.where("slots is not null").select("id", "fp", "slots").mapInArrow(run, "mask bigint, id bigint, fp binary")
+    return reps.select("id", "body").mapInArrow(run, "mask bigint, id bigint, fp binary")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,26 +237,26 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         mask, lo, hi, blk, ids = (t.column(i).to_numpy() for i in range(5))
-        fp = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint64).reshape(-1, PLANES * HALVES)
         group = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))])
-        size = np.bincount(group)
-        more = size[group] > 1
-        group, blk, ids, fp = group[more], blk[more], ids[more], fp[more]
-        order = np.lexsort((gray_rank(fp[:, 0]), blk, group))
-        group, blk, ids, fp = group[order], blk[order], ids[order], fp[order]
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=np.int64)
+        more = np.flatnonzero((np.bincount(group) > 1)[group])
+        if not len(more):
+            return
+        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, PLANES)
+        group, blk, ids = group[more], blk[more], ids[more]
+        order = np.lexsort((gray_rank(f[:, 0]), blk, group))
+        group, blk, ids, f = group[order], blk[order], ids[order], f[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         size = np.diff(np.r_[first, len(group)])
         for i, j in slices((size * size).tolist(), PAIRS):  # groups with so many pairs at a time
             u, v = int(first[i]), int(first[j - 1] + size[j - 1])
-            a, b = group_pairs(group[u:v], blk[u:v], fp[u:v, 0])
-            near = near_pairs(fp[u:v], a, b)
-            x, y = ids[u + a[near]], ids[u + b[near]]
+            a, b = group_pairs(group[u:v], blk[u:v], f[u:v])
+            x, y = ids[u + a], ids[u + b]
             key = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), dtype=np.int64)
             for k in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000, 0]), pa.array(key[k : k + 100_000, 1])], names=["a", "b"])
 
-    for b in batches:
-        t = pa.Table.from_batches([b])
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
         t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
         if t.num_rows < 50_000:
             rest = t
@@ -245,66 +273,121 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rest)
 
 
+def _blocks_met(rows: DataFrame, blocks: str) -> DataFrame:
+    """Rows of a split group, once for every block theirs meets: (lo, hi) names the pair of blocks, blk the own one."""
+    own = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    d = rows.withColumn("blk", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return d.withColumns({"lo": F.least("blk", "_other"), "hi": F.greatest("blk", "_other")}).drop("_other", blocks)
+
+
 def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: representatives whose fingerprints meet in a group within the radius."""
+    """(a, b), a < b, distinct: representatives (id, body) that share a mask and enough slots; a written table."""
     masked = _masked(reps)
-    hot = materialize(_masked(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("mask").count().where(F.col("count") >= MAX_GROUP // SAMPLE).select("mask", F.ceil(F.col("count") * SAMPLE / MAX_GROUP * 2).cast("int").alias("blocks")), "dup-hot")
+    sample = _masked(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
+    hot = materialize(sample.groupBy("mask").count().where(F.col("count") >= MAX_GROUP // SAMPLE).select("mask", F.ceil(F.col("count") * SAMPLE / MAX_GROUP * 2).cast("int").alias("blocks")), "dup-hot")
     zero = F.lit(0)
     if hot.isEmpty():
-        rows = masked.select("mask", zero.alias("lo"), zero.alias("hi"), zero.alias("blk"), "id", "fp")
+        rows = masked.withColumns({"lo": zero, "hi": zero, "blk": zero})
     else:
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        rows = masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", own)
-        rows = rows.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).select("mask", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", "fp")
-    rows = rows.repartition("mask", "lo", "hi").sortWithinPartitions("mask", "lo", "hi")
+        rows = _blocks_met(masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
+    rows = rows.select("mask", "lo", "hi", "blk", "id", "fp").repartition("mask", "lo", "hi").sortWithinPartitions("mask", "lo", "hi")
     out = materialize(rows.mapInArrow(_joined, "a bigint, b bigint").distinct(), "dup-candidates")
     release(hot)
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters, the gram at each place (a repeated one numbered), the sorted grams and their places."""
+    chars, _ = code_points([text])
+    h = gram_hashes(chars, GRAM)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    s = s + numbered(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(s) else s
+    h[order] = s
+    order = np.argsort(h)
+    return chars, h, h[order], order
+
+
+def _covered(places: np.ndarray, size: int) -> int:
+    """How many of size characters the grams that begin at the places cover."""
+    mark = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(mark, places, 1)
+    np.add.at(mark, places + GRAM, -1)
+    return int((np.cumsum(mark)[:size] > 0).sum())
+
+
+def kept_share(one: tuple, other: tuple) -> float:
+    """Share of the longer body's characters that remain in the other one, wherever they stand.
+
+    Grams in common decide if they cover little or nearly all. In between only those on a diagonal count beside which
+    (8 places either way) at least 24 places agree, and on such a diagonal single characters count too, near a gram.
+    """
+    if len(one[0]) < len(other[0]):
+        one, other = other, one
+    size = len(one[0])
+    if not len(other[2]) or len(other[0]) < SAME * size:
+        return 0.0
+    at = np.minimum(np.searchsorted(other[2], one[1]), len(other[2]) - 1)
+    x = np.flatnonzero(other[2][at] == one[1])
+    share = _covered(x, size) / size
+    if not SURELY[0] <= share < SURELY[1]:
+        return share
+    y = other[3][at[x]]
+    shift = x - y + len(other[0])
+    there = np.bincount(shift, minlength=size + len(other[0]) + 1)
+    near = np.convolve(there, np.ones(17, dtype=np.int64), "same") >= 24
+    good = near[shift]
+    x, shift = x[good], shift[good]
+    mark = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(mark, x, 1)
+    np.add.at(mark, x + GRAM, -1)
+    mark = np.cumsum(mark)[:size] > 0
+    for d in np.unique(shift):
+        if there[d] < 8:
             continue
-        ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-        texts = [batch.column(i).to_pylist() for i in (2, 3)]
-        known: dict[int, tuple[np.ndarray, int]] = {}
-
-        def grams(i: int, t: str) -> tuple[np.ndarray, int]:
-            if i not in known:
-                if len(known) > 4000:
-                    known.clear()
-                chars, _ = bodies([t])
-                known[i] = (np.sort(gram_hashes(chars, GRAM)), len(chars))
-            return known[i]
+        on = x[shift == d]
+        off = int(d) - len(other[0])
+        u, v = max(int(on[0]) - 8, off, 0), min(int(on[-1]) + GRAM + 8, len(other[0]) + off, size)
+        step = np.zeros(v - u + 1, dtype=np.int64)
+        np.add.at(step, np.maximum(on - 8 - u, 0), 1)
+        np.add.at(step, np.minimum(on + GRAM + 8 - u, v - u), -1)
+        mark[u:v] |= (one[0][u:v] == other[0][u - off : v - off]) & (np.cumsum(step)[:-1] > 0)
+    return float(mark.sum()) / size
 
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[int, tuple] = {}
+    for batch in batches:
+        ids = [batch.column(i).to_pylist() for i in (0, 1)]
+        texts = [batch.column(i) for i in (2, 3)]
         share = np.zeros(batch.num_rows)
         for k in range(batch.num_rows):
-            (x, _), (y, _) = grams(int(ids[0][k]), texts[0][k]), grams(int(ids[1][k]), texts[1][k])
-            most = max(len(x), len(y))
-            if min(len(x), len(y)) < SAME * most:
-                continue
-            ux, cx = np.unique(x, return_counts=True)
-            uy, cy = np.unique(y, return_counts=True)
-            _, p, q = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-            share[k] = np.minimum(cx[p], cy[q]).sum() / most
+            two = []
+            for i in (0, 1):
+                n = ids[i][k]
+                if n not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    known[n] = _grams(texts[i][k].as_py().decode("utf-8"))
+                two.append(known[n])
+            share[k] = kept_share(*two)
         good = share >= SAME
-        yield pa.RecordBatch.from_arrays([pa.array(ids[0][good]), pa.array(ids[1][good]), pa.array(share[good])], names=["a", "b", "share"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good)), pa.array(share[good])], names=["a", "b", "share"])
 
 
 def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives."""
+    """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives; written tables."""
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and length(t) > 0")
-    rows = materialize(_sketched(src), "dup-sketches")
-    one = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "fp", "slots")).alias("m"))
-    reps = materialize(one.select("h1", "h2", "m.id", "m.fp", "m.slots"), "dup-representatives")
-    members = rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct()
+    rows = materialize(_hashed(src), "dup-bodies")
+    reps = materialize(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "body")).alias("m")).select("h1", "h2", "m.id", "m.body"), "dup-representatives")
+    members = materialize(rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct(), "dup-members")
+    release(rows)
     found = candidate_pairs(reps)
-    both = found.join(src.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(src.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = reps.select("id", "body").join(wanted, "id", "left_semi")
+    both = found.join(texts.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint, share double"), "dup-links")
-    members = materialize(members, "dup-members")
-    for done in (found, reps, rows):
-        release(done)
+    release(found, reps)
     return members, links
 
 
@@ -313,9 +396,10 @@ def duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
     members, links = near_duplicates(df, key, text)
     x, y = (members.select(F.col("id").alias(n), F.col("rep").alias(f"r{n}")) for n in ("x", "y"))
     linked = links.select("a", "b").join(x, F.col("a") == F.col("rx")).select("x", "b").join(y, F.col("b") == F.col("ry")).select("x", "y")
-    several = members.groupBy("rep").count().where("count > 1").select("rep")
-    copies = members.join(several, "rep")
-    same = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    several = members.groupBy("rep").count().where("count > 1").select("rep", F.ceil(F.col("count") / COPIES).cast("int").alias("blocks"))
+    met = _blocks_met(members.join(several, "rep"), "blocks")
+    left, right = met.where("blk = lo").select("rep", "lo", "hi", F.col("id").alias("x")), met.where("blk = hi").select("rep", "lo", "hi", F.col("id").alias("y"))
+    same = left.join(right, ["rep", "lo", "hi"]).where("lo < hi or x < y").select("x", "y")
     return linked.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
