@@ -6,12 +6,14 @@ equal body are exact copies and are represented by their lowest id from then on.
 Method, a Gray-order hierarchical index over groups that share a masked bit pattern:
 1. Fingerprints. The pairs of neighbouring characters of a body, repeats counted, are drawn into SLOTS independent
    minima. All weigh the same, so two texts agree in a slot as often as their pairs do, however many other texts share
-   them. PLANES bits of the first 64 slots make the fingerprint, one word for each plane.
+   them. PLANES bits of the first 64 slots make the fingerprint, one word for each plane. As many words more come from
+   64 minima over spread grams: two such pairs APART places from one another, which stock phrases do not share.
 2. Masks. WIDTH slots are a masked bit pattern; fingerprints that share one stand below the same top node. Below it
    they are sorted by Gray rank, every FAN neighbours are factored into a node that keeps the bits they all
    share, FAN nodes into an upper node and so on.
 3. Search. The hierarchy is joined with itself from the top. Over the bits that both nodes share the differing slots
-   are accumulated plane by plane; a pair of nodes is dropped with everything below it once they exceed UNEQUAL.
+   are accumulated plane by plane; a pair of nodes is dropped with everything below it once they exceed UNEQUAL. Of the
+   pairs of leaves left those stay that differ in few slots (SURE), or in not too many of the spread ones (SPREAD).
 4. Verification. Of the candidates the characters in common are counted: the 3-grams of the longer body found in the
    other, and where that leaves a doubt only those on diagonals with enough in common. Their share must reach SAME.
 
@@ -50,9 +52,10 @@ SKETCHED, GRAM = 2, 3
 #: Slots, and of how many a mask is made; each table has slots of its own.
 SLOTS, WIDTH = 72, 3
 TABLES = SLOTS // WIDTH
-PLANES = 4
-#: Most of the first 64 slots of a candidate that may differ.
-UNEQUAL = 42
+PLANES = 3
+APART = 24
+#: Most of the 64 slots of a candidate that may differ; most where the spread ones do not matter; most of the spread ones.
+UNEQUAL, SURE, SPREAD = 39, 27, 49
 #: Share of the longer body's characters that must remain in the other ("about seven tenths").
 SAME = 0.65
 #: Shares of common 3-grams that decide without a look at the diagonals.
@@ -62,7 +65,7 @@ MAX_GROUP = 2048
 PAIRS = 2_000_000
 SAMPLE = 64
 COPIES = 1000
-FACTORS = np.random.default_rng(7).integers(0, 1 << 31, SLOTS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+FACTORS = np.random.default_rng(7).integers(0, 1 << 31, max(64, SLOTS)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LABEL = re.compile(r"^\s*第[^\s。，；：]{1,16}条[\s　]*")
 
 
@@ -76,14 +79,21 @@ def numbered(key: np.ndarray) -> np.ndarray:
     return np.arange(len(key)) - np.repeat(first, np.diff(np.r_[first, len(key)]))
 
 
-def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, SLOTS) 16-bit slot values, and which texts have any gram."""
+def spread_hashes(chars: np.ndarray) -> np.ndarray:
+    """A hash for each place of the two characters there and the two APART places on."""
+    h = gram_hashes(chars, 2)
+    size = max(0, len(h) - APART)
+    return (h[:size] * np.uint64(0x9E3779B97F4A7C15) ^ h[len(h) - size :]) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def sketches(chars: np.ndarray, starts: np.ndarray, spread: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, SLOTS) 16-bit slot values, or (texts, 64) of spread grams, and which texts have any gram."""
     n = len(starts) - 1
-    h = gram_hashes(chars, SKETCHED)
-    owner, whole = gram_owner(starts, SKETCHED, len(h))
+    h = spread_hashes(chars) if spread else gram_hashes(chars, SKETCHED)
+    owner, whole = gram_owner(starts, APART + 2 if spread else SKETCHED, len(h))
     key = np.sort(owner[whole].astype(np.uint64) << np.uint64(40) | h[whole] >> np.uint64(24))
     some = np.bincount(owner[whole], minlength=n) > 0
-    slots = np.zeros((n, SLOTS), dtype=np.uint16)
+    slots = np.zeros((n, 64 if spread else SLOTS), dtype=np.uint16)
     if not len(key):
         return slots, some
     # The second, third ... occurrence of a gram in a text is a gram of its own.
@@ -91,7 +101,7 @@ def sketches(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     x = ((x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
     text = np.flatnonzero(some)
     begin = np.searchsorted(key, text.astype(np.uint64) << np.uint64(40))
-    for k, by in enumerate(FACTORS):
+    for k, by in enumerate(FACTORS[: slots.shape[1]]):
         least = np.minimum.reduceat(x * by, begin)
         slots[text, k] = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16)
     return slots, some
@@ -120,19 +130,28 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, bits: list[np.ndarray], shared: list[np.ndarray] | None, most: int) -> np.ndarray:
-    """Places of the pairs of nodes whose accumulated differences stay within most."""
-    at, unlike = np.arange(len(a)), np.uint64(0)
-    for p, w in enumerate(bits):
-        x, y = a[at], b[at]
-        d = w[x] ^ w[y]
-        if shared is not None:
-            d &= shared[p][x] & shared[p][y]
-        unlike = unlike | d
-        good = np.bitwise_count(unlike) <= most
-        at, unlike = at[good], unlike[good]
+    """Places of the pairs of nodes whose accumulated differences stay within most; planes are taken two by two."""
+    at, x, y, unlike = None, a, b, None
+    for p in range(0, len(bits), 2):
+        for q in range(p, min(p + 2, len(bits))):
+            d = bits[q][x]
+            d ^= bits[q][y]
+            if shared is not None:
+                d &= shared[q][x] & shared[q][y]
+            unlike = d if unlike is None else np.bitwise_or(unlike, d, out=unlike)
+        good = np.flatnonzero(np.bitwise_count(unlike) <= most)
+        at = good if at is None else at[good]
+        if p + 2 < len(bits):
+            x, y, unlike = x[good], y[good], unlike[good]
     return at
 
 
+def likely(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of leaves differ in few slots, or in not too many of the spread ones."""
+    unlike = lambda first: np.bitwise_count(np.bitwise_or.reduce([f[a, p] ^ f[b, p] for p in range(first, first + PLANES)], axis=0))
+    return (unlike(0) <= SURE) | (unlike(PLANES) <= SPREAD) if len(a) else np.zeros(0, dtype=bool)
+
+
 def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int = UNEQUAL, count: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that differ in at most so many slots, in the same group; rows are sorted by (group, side, Gray rank).
 
@@ -175,14 +194,14 @@ def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int =
         _, bits, shared, _, _ = levels[level - 1]
         found = []
         for i, j in slices(((hi[a] - lo[a]) * (hi[b] - lo[b])).tolist(), PAIRS):
-            pa_, pb_ = a[i:j], b[i:j]
-            nb = hi[pb_] - lo[pb_]
-            size = (hi[pa_] - lo[pa_]) * nb
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            nbr = np.repeat(nb, size)
-            ca, cb = np.repeat(lo[pa_], size) + at // nbr, np.repeat(lo[pb_], size) + at % nbr
-            keep = ca <= cb if level > 1 else ca < cb
-            ca, cb = ca[keep], cb[keep]
+            # Children of the first node, then for each those of the second; below one and the same node each pair once.
+            size = hi[a[i:j]] - lo[a[i:j]]
+            at = np.repeat(np.arange(i, j), size)
+            ca = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + lo[a[at]]
+            start = np.where(a[at] == b[at], ca + (level == 1), lo[b[at]])
+            size = hi[b[at]] - start
+            cb = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+            ca = np.repeat(ca, size)
             if count is not None:
                 count[level - 1] = count.get(level - 1, 0) + len(ca)
             near = _near(ca, cb, bits, shared, most)
@@ -221,10 +240,12 @@ def _masked(reps: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _decoded(batch.column(1))
             for x, y in slices([len(s) + 500 for s in texts], 500_000):  # at most a thousand texts at once
-                slots, some = sketches(*code_points(texts[x:y]))
+                points = code_points(texts[x:y])
+                slots, some = sketches(*points)
+                words = np.concatenate([fingerprints(slots), fingerprints(sketches(*points, spread=True)[0])], axis=1)
                 slots, own = slots[some], ids[x:y][some]
                 if len(own):
-                    fp = pa.array([w.tobytes() for w in fingerprints(slots)], pa.binary())
+                    fp = pa.array([w.tobytes() for w in words[some]], pa.binary())
                     row = np.repeat(np.arange(len(own)), TABLES)
                     yield pa.RecordBatch.from_arrays([pa.array(masks(slots).reshape(-1)), pa.array(own[row]), fp.take(pa.array(row))], names=["mask", "id", "fp"])
 
@@ -241,7 +262,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = np.flatnonzero((np.bincount(group) > 1)[group])
         if not len(more):
             return
-        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, PLANES)
+        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, 2 * PLANES)
         group, blk, ids = group[more], blk[more], ids[more]
         order = np.lexsort((gray_rank(f[:, 0]), blk, group))
         group, blk, ids, f = group[order], blk[order], ids[order], f[order]
@@ -249,8 +270,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[first, len(group)])
         for i, j in slices((size * size).tolist(), PAIRS):  # groups with so many pairs at a time
             u, v = int(first[i]), int(first[j - 1] + size[j - 1])
-            a, b = group_pairs(group[u:v], blk[u:v], f[u:v])
-            x, y = ids[u + a], ids[u + b]
+            a, b = group_pairs(group[u:v], blk[u:v], f[u:v, :PLANES])
+            good = likely(f[u:v], a, b)
+            x, y = ids[u + a[good]], ids[u + b[good]]
+            x, y = x[x != y], y[x != y]
             key = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), dtype=np.int64)
             for k in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000, 0]), pa.array(key[k : k + 100_000, 1])], names=["a", "b"])
@@ -379,12 +402,15 @@ def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") ->
     """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives; written tables."""
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and length(t) > 0")
     rows = materialize(_hashed(src), "dup-bodies")
-    reps = materialize(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "body")).alias("m")).select("h1", "h2", "m.id", "m.body"), "dup-representatives")
-    members = materialize(rows.select("h1", "h2", "id").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"]).select("id", "rep").distinct(), "dup-members")
-    release(rows)
+    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    held = materialize(rows.select("h1", "h2", "id").join(first, ["h1", "h2"]).distinct(), "dup-held")
+    # Only exact copies are taken out, so no body moves where they are few enough for Spark to send them to all.
+    reps = materialize(rows.join(held.where("id <> rep").select("h1", "h2", "id"), ["h1", "h2", "id"], "left_anti").select("id", "body"), "dup-representatives")
+    members = materialize(held.select("id", "rep").distinct(), "dup-members")
+    release(rows, held)
     found = candidate_pairs(reps)
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = reps.select("id", "body").join(wanted, "id", "left_semi")
+    texts = reps.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     both = found.join(texts.select(F.col("id").alias("a"), F.col("body").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("tb")), "b")
     links = materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a bigint, b bigint, share double"), "dup-links")
     release(found, reps)

@@ -69,7 +69,7 @@ def edited(rng, c, kind):
     return np.concatenate([parts[i] for i in rng.permutation(6)])
 
 
-@pytest.mark.parametrize("kind, least", [("kept90", 0.99), ("kept85", 0.95), ("kept80", 0.90), ("inserted", 0.99), ("scattered insertions", 0.97), ("reordered", 0.99)])
+@pytest.mark.parametrize("kind, least", [("kept90", 0.99), ("kept85", 0.97), ("kept80", 0.87), ("inserted", 0.99), ("scattered insertions", 0.98), ("reordered", 0.99)])
 def test_recall_by_kind_of_edit(kind, least):
     """Pairs meet in a mask, stay within the radius and keep their share of characters."""
     rng = np.random.default_rng(4)
@@ -77,9 +77,11 @@ def test_recall_by_kind_of_edit(kind, least):
     twos = [edited(rng, c, kind).astype(np.uint32) for c in ones]
     starts = lambda ts: np.concatenate([[0], np.cumsum([len(t) for t in ts])])
     x, y = (N.sketches(np.concatenate(ts), starts(ts))[0] for ts in (ones, twos))
-    f = np.concatenate([N.fingerprints(x), N.fingerprints(y)])
+    spread = [N.sketches(np.concatenate(ts), starts(ts), spread=True)[0] for ts in (ones, twos)]
+    f = np.concatenate([np.concatenate([N.fingerprints(s), N.fingerprints(p)], axis=1) for s, p in zip((x, y), spread)])
     ok = np.zeros(800, dtype=bool)
-    ok[N._near(np.arange(800), np.arange(800, 1600), list(f.T), None, N.UNEQUAL)] = True
+    ok[N._near(np.arange(800), np.arange(800, 1600), list(f.T[: N.PLANES]), None, N.UNEQUAL)] = True
+    ok &= N.likely(f, np.arange(800), np.arange(800, 1600))
     ok &= (N.masks(x) == N.masks(y)).any(axis=1)
     text = lambda c: "".join(map(chr, c))
     kept = [N.kept_share(N._grams(text(a)), N._grams(text(b))) >= N.SAME for a, b in zip(ones, twos)]
