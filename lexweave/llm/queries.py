@@ -20,6 +20,15 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_texts(t).select("chunk_id", "piece_no", "piece_start", "overlap_chars", "piece_text", "article_no", "chapter", "section")
 
 
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces, and whether all of them keep the limits."""
+    p = split.split_texts(read_table(spark, d, "legal_chunker").select("chunk_id", "text"))
+    new = F.struct("piece_no", F.substring("piece_text", F.col("overlap_chars") + 1, F.length("piece_text")).alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda x: x["s"]), "")
+    short = F.max(F.length("piece_text")) <= split.CHUNK_SIZE
+    return p.groupBy("chunk_id").agg(whole.alias("text"), short.alias("short"), (F.max("overlap_chars") <= split.CHUNK_OVERLAP).alias("overlap_kept"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_pairs(read_table(spark, d, "legal_chunker")).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
@@ -77,7 +86,10 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.join(by, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 4).alias("mean_difficulty"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_classes, p3_found, p3_redacted, p4_found, p4_unified, p5_found, p5_flags, p6_found, p7_mix, p7_report, p8_found, p8_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_classes, p3_found, p3_redacted, p4_found, p4_unified, p5_found, p5_flags, p6_found, p7_mix, p7_report, p8_found, p8_profile)}
 
 # The other operators are no SQL: they are tested against brute force, round trips and held-out grades.
-ORACLE_SQL: dict[str, str] = {"p1_found": "SELECT chunk_id FROM legal_chunker WHERE length(text) > 600"}
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": "SELECT chunk_id FROM legal_chunker WHERE length(text) > 600",
+    "p1_rebuilt": "SELECT chunk_id, text, true AS short, true AS overlap_kept FROM legal_chunker WHERE length(text) > 0",
+}

@@ -56,6 +56,19 @@ def test_split_overlap_starts_at_a_sentence(spark):
     assert all(r.piece_text.startswith("一") and r.overlap_chars == 20 for r in got[1:])
 
 
+def test_split_overlap_is_long_before_it_is_strong(spark):
+    t = "甲" * 30 + "，" + "乙" * 12 + "。" + "丙" * 4 + "。" + "丁" * 60
+    got = pieces(spark, [(1, t, None, 1)], limit=60, overlap=24)
+    assert got[1].piece_text.startswith("乙") and got[1].overlap_chars == 18  # not just the last short sentence
+
+
+def test_split_of_a_very_long_text(spark):
+    random.seed(5)
+    t = "".join(random.choice("甲乙丙丁戊己庚辛，。\n") for _ in range(400_000))
+    got = pieces(spark, [(1, t, None, 1)], limit=600, overlap=150)
+    check(got, {1: t}, 600, 150)
+
+
 FAKES = {
     "第ー千二〸条 甲": "第一千二十条　甲",
     "债权⼈应当在⼆十日": "债权人应当在二十日",
