@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexweave.llm import leak, mix, reading
@@ -175,4 +176,35 @@ def test_reading_without_grades_or_documents(spark):
     d, labels, _ = graded(spark, 20)
     assert {r.reading_level for r in reading.reading_levels(d, labels.limit(0)).collect()} == {None}
     assert reading.reading_levels(d.limit(0), labels).count() == 0
-    assert [len(x) // 2 for x in reading.word_nodes(["abc abc", "", "甲乙丙丁戊己", "甲乙丙丁戊己"])] == [4, 0, 2, 2]
+    assert [len(reading.decoded(pa.array([x], pa.binary()))[0]) for x in reading.word_nodes(["abc abc", "", "甲乙丙丁戊己", "甲乙丙丁戊己"])] == [4, 0, 2, 2]
+
+
+def test_coded_nodes_come_back():
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(0, 1 << 20, n)) for n in (0, 1, 3, 5000, 0, 40)] + [np.array([0]), np.array([65534, 65535, 131070, 200000])]
+    cut = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    blobs = reading.coded(np.concatenate(texts), cut)
+    nodes, doc = reading.decoded(pa.array(blobs, pa.binary()))
+    assert [nodes[doc == i].tolist() for i in range(len(texts))] == [t.tolist() for t in texts]
+
+
+def test_sums_do_not_depend_on_the_number_of_tasks(spark):
+    from lexweave.llm import sums
+
+    def run(batches):
+        total = np.zeros((2, 40_000))
+        for b in batches:
+            total[1, b.column(0).to_numpy()] += 1
+        yield from sums.parts(total)
+
+    for tasks in (1, 150):
+        got = sums.add_up(spark.range(0, 40_000, 1, tasks), run, (2, 40_000))
+        assert (got[0] == 0).all() and (got[1] == 1).all()
+    assert (sums.add_up(spark.range(0), run, (2, 40_000)) == 0).all()
+
+
+def test_reading_ends_when_words_stand_still(spark):
+    d, labels, level = graded(spark, 300)
+    one = {r.doc_id: r.reading_level for r in reading.reading_levels(d, labels, tolerance=10.0).collect()}
+    many = {r.doc_id: r.reading_level for r in reading.reading_levels(d, labels, nodes=1 << 12).collect()}
+    assert set(one) == set(many) and np.mean([many[k] == level[k] for k in level]) > 0.85
