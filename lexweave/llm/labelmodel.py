@@ -42,14 +42,14 @@ def posteriors(counts: dict[str, int], prior: float = 0.1, rounds: int = 50, tru
     return dict(zip(patterns, post.tolist()))
 
 
-def best_cutoff(counts: dict[str, int], post: dict[str, float], least: float = 0.3, most: float = 0.9) -> float:
-    """The cutoff in the given range with the best expected F1 over all counted patterns."""
-    all_true = sum(n * post[p] for p, n in counts.items())
+def best_cutoff(cases: list[tuple[float, int, bool]], least: float = 0.3, most: float = 0.9) -> float:
+    """The cutoff in the given range with the best F1 over known cases (posterior, how many, is a case)."""
+    true = sum(n for _, n, y in cases if y)
     best, cut = -1.0, 0.5
     for t in sorted(np.linspace(least, most, 25), key=lambda t: abs(t - 0.5)):
-        hit = sum(n * post[p] for p, n in counts.items() if post[p] >= t)
-        said = sum(n for p, n in counts.items() if post[p] >= t)
-        f1 = 2 * hit / max(said + all_true, 1e-9)
+        hit = sum(n for p, n, y in cases if y and p >= t)
+        said = sum(n for p, n, _ in cases if p >= t)
+        f1 = 2 * hit / max(said + true, 1)
         if f1 > best + 1e-9:
             best, cut = f1, float(t)
     return cut

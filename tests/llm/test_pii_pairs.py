@@ -50,8 +50,8 @@ def test_label_model_finds_reliabilities():
         truth[v] = truth.get(v, 0) + y
     post = posteriors(counts, 0.1)
     assert abs(post["+++"] - truth["+++"] / counts["+++"]) < 0.15 and post["---"] < 0.05
-    assert 0.3 <= best_cutoff(counts, post) <= 0.9
-    assert posteriors({}) == {} and best_cutoff({}, {}) == 0.5
+    assert posteriors({}) == {} and best_cutoff([]) == 0.5
+    assert 0.55 < best_cutoff([(0.9, 10, True), (0.6, 5, True), (0.55, 8, False), (0.1, 100, False)]) <= 0.6
 
 
 QUESTION = "房东一直不退押金，该去哪个部门投诉？"
@@ -89,6 +89,30 @@ def test_defects(spark):
     assert P.found_defects(m.limit(0)).count() == 0
 
 
+def test_planted_defects_are_found(spark):
+    m, _ = chat(spark)
+    p = P.answer_pairs(m).cache()
+    shapes = P.finished_shapes(p)
+    model = P.defect_model(P.voted(p, shapes), P.voted(P.planted_defects(p), shapes, ("planted",)))
+    rows = P.voted(P.planted_defects(p), shapes, ("planted",)).collect()
+    for k in P.PRECEDENCE:
+        post, cut = model[k]
+        cases = [r for r in rows if r.planted == k]
+        assert 0.3 <= cut <= 0.9 and len(cases) > 100
+        if k != "truncated":  # cut where it happens to end well, an answer is not truncated
+            assert sum(post.get(r[k], 1) >= cut for r in cases) >= 0.95 * len(cases), k
+
+
+def test_long_copies_follow_the_same_rule(spark):
+    long = "".join(f"第{i}份合同的押金为什么没有退还，应当找谁？" for i in range(20))
+    near = "另" + long[:100] + "改" + long[101:250] + "动" + long[251:]
+    rows = []
+    for i in range(0, 600, 2):
+        rows += [(i, "s", i, "human", long), (i + 1, "s", i + 1, "ai", near if i % 60 == 0 else long if i % 60 == 30 else GOOD)]
+    got = {r.msg_id: r.defect for r in P.found_defects(spark.createDataFrame(rows, "msg_id bigint, session_id string, pos bigint, type string, content string")).collect()}
+    assert got == {i + 1: "copy" for i in range(0, 600, 30)}
+
+
 def test_asked_language(spark):
     en = "First collect the papers. Then file the short form with the board; it depends on the contract."
     rows = []
