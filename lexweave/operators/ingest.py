@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def new_documents(docs: DataFrame, registry: DataFrame, key: str, arrival: list[
 
 def document_lines(docs: DataFrame, key: str, cleaned: str) -> DataFrame:
     """(key, pos, line, kind) of cleaned texts, article labels inside a line broken out first."""
-    return docs.select(key, F.posexplode(X.lines(X.break_articles(F.col(cleaned)))).alias("pos", "line")).withColumn("kind", X.line_kind(F.col("line")))
+    # A plain posexplode() would filter for empty arrays first, and so clean every text twice.
+    d = docs.select(key, F.posexplode_outer(X.lines(X.break_articles(F.col(cleaned)))).alias("pos", "line")).where("line is not null")
+    return d.withColumn("kind", X.line_kind(F.col("line")))
 
 
 def article_units(docs: DataFrame, key: str, cleaned: str) -> DataFrame:
@@ -94,23 +97,23 @@ def pack_chunks(units: DataFrame, key: str, max_chars: int = DEFAULT.chunk_size)
 def pack_chunks_overlapping(units: DataFrame, key: str, max_chars: int, overlap: int) -> DataFrame:
     """The same with whole articles repeated: the next chunk starts overlap articles back, suffix chunks included.
 
-    The next start depends on the last end, which no built-in expression carries with overlap; one scope of one document
-    is one small group.
+    The end of the chunk that starts at an article follows from running lengths by a search; only the chain of starts is
+    walked, which no built-in expression carries with overlap. One scope of one document is one small group.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("unit_ord", ignore_index=True)
-        size, rows, i, no = pdf["len"].tolist(), [], 0, 0
-        while i < len(size):
-            end, total = i, 0
-            while end < len(size) and (total == 0 or total + 1 + size[end] <= max_chars):
-                total += size[end] + (1 if total else 0)
-                end += 1
-            no += 1
-            rows += [(no, k) for k in range(i, end)]
-            i = end - overlap if end - overlap > i else i + 1
-        at = pd.DataFrame(rows, columns=["chunk_no", "k"])
-        return pdf.loc[at["k"]].reset_index(drop=True).assign(chunk_no=at["chunk_no"].astype("int32"), scope_ord=pdf["unit_ord"].iloc[0])[cols]
+        # Every article costs its length and a line break; a chunk from i to e - 1 saves one break.
+        upto = np.concatenate([[0], np.cumsum(pdf["len"].to_numpy() + 1)])
+        ends = np.maximum(np.searchsorted(upto, upto[:-1] + max_chars + 1, side="right") - 1, np.arange(1, len(upto)))
+        following = np.maximum(ends - overlap, np.arange(1, len(upto)))
+        starts = [0]
+        while following[starts[-1]] < len(pdf):
+            starts.append(int(following[starts[-1]]))
+        size = ends[starts] - np.array(starts)
+        at = np.arange(size.sum()) + np.repeat(np.array(starts) - (np.cumsum(size) - size), size)
+        number = np.repeat(np.arange(1, len(starts) + 1, dtype="int32"), size)
+        return pdf.iloc[at].reset_index(drop=True).assign(chunk_no=number, scope_ord=pdf["unit_ord"].iloc[0])[cols]
 
     flat = units.select(key, "chapter", "section", "unit_ord", F.length("text").alias("len"), "part", "article_no", "text")
     types = dict(flat.dtypes)
@@ -147,8 +150,18 @@ def ingest(docs: DataFrame, registry: DataFrame, key: str = "upload_id", arrival
     return with_metadata(packed, units, d, key, create_time=create_time)
 
 
+def plain_chunks(docs: DataFrame, key: str, cleaned: str, size: int) -> DataFrame:
+    """(key, ord, text): cleaned texts cut every size characters, headings and all, as stored before structure was kept."""
+    d = docs.where(F.length(cleaned) > 0).select(key, F.col(cleaned).alias("_t"), F.explode_outer(F.sequence(F.lit(0), F.floor((F.length(cleaned) - 1) / size).cast("int"))).alias("ord"))
+    return d.select(key, F.col("ord").cast("bigint").alias("ord"), F.substring("_t", F.col("ord") * size + 1, F.lit(size)).alias("text"))
+
+
 def ingest_status(docs: DataFrame, registry: DataFrame, key: str = "upload_id", arrival: tuple[str, ...] = ("received_at",), cfg: Config = DEFAULT, hash_of: str = "cleaned") -> DataFrame:
-    """(key, md5, status): repeat, warn (no article found, hash not kept) or success."""
+    """(key, md5, status): repeat, warn (no article found or nothing in it, hash not kept) or success.
+
+    A null text counts as an empty one.
+    """
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     d = docs.withColumn("cleaned", clean_text(F.col("text"), cfg)).withColumn("md5", X.md5_hex(F.col("cleaned" if hash_of == "cleaned" else "text")))
     some = F.exists(X.lines(X.break_articles(F.col("cleaned"))), lambda x: X.line_kind(x) == "a")
     d = d.select(key, "md5", *arrival, F.coalesce(some, F.lit(False)).alias("some"))
@@ -161,7 +174,7 @@ def ingest_status(docs: DataFrame, registry: DataFrame, key: str = "upload_id",
 
 def line_chapter_ends(docs: DataFrame, key: str, cleaned: str) -> DataFrame:
     """(key, chapter, article_end): the last article label named anywhere under each chapter, references included."""
-    ls = docs.select(key, F.posexplode(X.lines(F.col(cleaned))).alias("pos", "line"))
+    ls = docs.select(key, F.posexplode_outer(X.lines(F.col(cleaned))).alias("pos", "line")).where("line is not null")
     chapter = ls["line"].rlike(X.CHAPTER)
     w = Window.partitionBy(key).orderBy("pos")
     ls = ls.withColumns({"chapter": F.last(F.when(chapter, ls["line"]), ignorenulls=True).over(w), "last_no": F.when(~chapter, X.last_match(F.col("line"), X.ARTICLE))})

@@ -130,7 +130,26 @@ def compress(messages: DataFrame, cfg: Config = DEFAULT, summarise=None) -> Data
     m = materialize(stored_once(messages), "memory-once")
     numbered = materialize(rounds(m, cfg, True), "memory-rounds")
     state = materialize(memory_state(m, cfg, summarise, True, numbered), "memory-state")
-    release(m)
     kept = numbered.join(kept_rounds(m, state, cfg, numbered).select("session_id", "round_id"), ["session_id", "round_id"])
     head = state.where("summary <> ''").select("session_id", F.lit(-1).cast("bigint").alias("ord"), F.lit("system").alias("type"), F.concat(F.lit(cfg.summary_tag + cfg.line_sep), F.col("summary")).alias("content"))
-    return head.unionByName(kept.select("session_id", F.col("pos").alias("ord"), "type", "content"))
+    out = materialize(head.unionByName(kept.select("session_id", F.col("pos").alias("ord"), "type", "content")), "memory-history")
+    release(m, numbered, state)
+    return out
+
+
+def append_messages(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """(session_id, pos, msg_id, type, content): stored messages, once each, and new ones behind the last of their session.
+
+    new has (session_id, pos, type, content) with positions of its own from 0; sessions not stored so far begin with them.
+    """
+    old = stored_once(stored)
+    last = old.groupBy("session_id").agg(F.max("pos").alias("_last"))
+    fresh = new.where("session_id is not null and pos is not null").select("session_id", F.col("pos").cast("bigint").alias("pos"), X.canonical_type(F.col("type")).alias("type"), "content")
+    placed = fresh.join(last, "session_id", "left").withColumn("pos", F.col("pos") + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    none = F.lit(None).cast(dict(old.dtypes)["msg_id"]).alias("msg_id")
+    return old.unionByName(placed.select("session_id", "pos", none, "type", "content"))
+
+
+def add_messages(stored: DataFrame, new: DataFrame, cfg: Config = DEFAULT, summarise=None) -> DataFrame:
+    """The history to be stored after new messages: read, append, compress (ord, type, content per session)."""
+    return compress(append_messages(stored, new), cfg, summarise)

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.config import DEFAULT, Config
+from lexweave.functions.text import role_label
+from lexweave.operators.memory import add_messages, compress
+from lexweave.runtime import materialize
 
 TEMPLATE = "你是严谨的法律信息助手，只依据所给资料回答，资料不足时直接说明。{sep}资料：{sep}{context}"
 
@@ -27,8 +30,6 @@ def evidence(ranked: DataFrame, by: list[str] | None = None, cfg: Config = DEFAU
 
 def history_text(messages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(session_id, history): compressed messages (session_id, ord, type, content) as lines; bounded by the budget."""
-    from lexweave.functions.text import role_label
-
     line = F.concat(F.lit("["), role_label(F.col("type")), F.lit("] "), F.coalesce("content", F.lit("")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"])
     return messages.groupBy("session_id").agg(F.array_join(ordered, "\n").alias("history"))
@@ -58,3 +59,23 @@ def answer(prompts: DataFrame, model=None, prompt: str = "prompt") -> DataFrame:
 def preview(ranked: DataFrame, chars: int = 220) -> DataFrame:
     """Ranked chunks with the start of their text on one line."""
     return ranked.withColumn("preview", F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, chars))
+
+
+def session_prompts(stored: DataFrame, questions: DataFrame, context: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(session_id, question, prompt): evidence, the session's history as it is kept, the question.
+
+    questions has (session_id, question), context one row (context). A session without history has none in its prompt.
+    """
+    history = history_text(compress(stored, cfg), cfg)
+    d = questions.join(history, "session_id", "left").crossJoin(F.broadcast(context.select("context").limit(1)))
+    return d.select("session_id", "question", render(F.col("context"), F.col("question"), F.col("history"), cfg).alias("prompt"))
+
+
+def chat_turn(stored: DataFrame, questions: DataFrame, context: DataFrame, model=None, cfg: Config = DEFAULT, summarise=None) -> tuple[DataFrame, DataFrame]:
+    """One turn of every session asked: (session_id, question, prompt, answer) and the histories to be stored after it.
+
+    The answers are written before they are used twice, so the model sees each prompt once.
+    """
+    answered = materialize(answer(session_prompts(stored, questions, context, cfg), model), "chat-answers")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("human").alias("type"), F.col("question").alias("content")), F.struct(F.lit(1).alias("pos"), F.lit("ai").alias("type"), F.col("answer").alias("content"))))
+    return answered, add_messages(stored, answered.select("session_id", both.alias("m")).select("session_id", "m.*"), cfg, summarise)

@@ -1,8 +1,10 @@
 """Retrieval: BM25 over characters, exact vector search, reciprocal rank fusion.
 
-BM25 of one query explodes no text: characters are counted on arrays of code points per Arrow batch, frequencies are
-summed per task before they move (the vocabulary bounds what is shuffled), and scoring is one pass. Lists are cut
-by orderBy + limit, which Spark runs as a top-k per partition. Ties go to the smaller id.
+BM25 explodes no text: characters are counted on arrays of code points per Arrow batch, frequencies are summed per task
+before they move (the vocabulary bounds what is shuffled), and scoring is one pass. Many questions over the same
+documents go through a written index: the distinct characters of each document with their counts, read once for a block of
+questions. Lists are cut by orderBy + limit, which Spark runs as a top-k per partition, or by the k best of every task
+and question. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -56,18 +58,107 @@ def term_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return part.groupBy("token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def term_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, token, tf): the inverted index as a table, to be written once and queried often."""
-    return docs.select(key, F.explode(X.char_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+def _index_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blank = np.zeros(0x110000, dtype=bool)
+    blank[X.BLANKS] = True
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for a in range(0, len(texts), 500):
+            part = [t or "" for t in texts[a : a + 500]]
+            chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+            keep = ~blank[chars]
+            pair, tf = np.unique(owner[keep] << 21 | chars[keep], return_counts=True)
+            ends = np.searchsorted(pair >> 21, np.arange(len(part) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (pair & 0x1FFFFF, tf)]
+            length = np.bincount(owner[keep], minlength=len(part))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(length), *lists], names=["key", "length", "codes", "counts"])
+
+
+def character_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, length, codes, counts): the distinct characters of each document and how often they occur; to be written once."""
+    src = docs.select(F.col(key), F.col(text).cast("string"))
+    return src.mapInArrow(_index_characters, f"key {dict(docs.dtypes)[key]}, length bigint, codes array<int>, counts array<int>").withColumnRenamed("key", key)
+
+
+def index_statistics(index: DataFrame) -> DataFrame:
+    """(code, df) from a character index, without its texts."""
+    return index.select(F.explode_outer("codes").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("df"))
+
+
+def idf_table(stats: DataFrame, documents: int, cfg: Config = DEFAULT) -> DataFrame:
+    """stats (with df) and idf, negative values raised to epsilon times the mean of all."""
+    raw = stats.withColumn("_raw", F.log(F.lit(float(documents)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("_raw").alias("_mean"))
+    return raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("_raw") < 0, F.col("_mean") * cfg.bm25_epsilon).otherwise(F.col("_raw"))).drop("_raw", "_mean")
+
 
+def _keep_best(near_d, near_i, d, i, k: int):
+    """The k smallest of two tables of values (a row per query) with their ids; ties to the smaller id."""
+    d, i = np.concatenate([near_d, d], axis=1), np.concatenate([near_i, i], axis=1)
+    if d.shape[1] > 4 * k:  # only what is not worse than the k-th can stay
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        most = max(k, int((d <= bound).sum(axis=1).max()))
+        some = np.argpartition(np.where(d <= bound, 0, 1), min(most, d.shape[1]) - 1, axis=1)[:, :most]
+        d, i = np.take_along_axis(d, some, 1), np.take_along_axis(i, some, 1)
+    order = np.lexsort((i, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
 
-def idf_table(docs: DataFrame, text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
-    """(token, idf) with negative values raised to epsilon times the mean of all."""
-    toks = term_statistics(docs, text).select("token", "df")
-    n = docs.agg(F.count("*").cast("double").alias("n"))
-    raw = toks.crossJoin(F.broadcast(n)).select("token", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("mean") * cfg.bm25_epsilon).otherwise(F.col("raw")).alias("idf"))
+
+def bm25_top_batch(index: DataFrame, questions: DataFrame, k: int = DEFAULT.bm25_k, key: str = "doc_id", question_key: str = "query_id", question: str = "question", cfg: Config = DEFAULT, block: int = 1024) -> DataFrame:
+    """(question_key, key, score, rank): the k best documents for each of many questions, by a written character index.
+
+    Questions go out in blocks of a fixed number; a task keeps k rows per question, and only those are shuffled. Documents
+    without any character of a question are not listed. Statistics come from the index, one row per distinct character.
+    """
+    n, total = index.agg(F.count("*"), F.sum("length")).first()
+    average = (total or 0) / max(1, n) or 1.0
+    idf = {r["code"]: r["idf"] for r in idf_table(index_statistics(index), n, cfg).collect()}
+    asked = questions.select(F.col(question_key).cast("bigint").alias("q"), F.col(question).cast("string").alias("t")).where("q is not null and t is not null")
+    blocks = max(1, math.ceil(asked.count() / block))
+    out = None
+    for b in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).orderBy("q", "t").collect()
+        codes = sorted({ord(c) for r in part for c in r["t"] if ord(c) in idf})
+        at = {c: i for i, c in enumerate(codes)}
+        weight = np.zeros((len(codes), len(part)))
+        for j, r in enumerate(part):
+            for c in r["t"]:
+                if ord(c) in at:
+                    weight[at[ord(c)], j] += idf[ord(c)]
+        shared = index.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in part], dtype=np.int64), np.array(codes, dtype=np.int64), weight))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, codes, weight = shared.value
+            if not len(codes):
+                return
+            place = np.full(0x110000, -1)
+            place[codes] = np.arange(len(codes))
+            best_d, best_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2000):
+                    one = batch.slice(a, 2000)
+                    lists, counts = one.column(2), one.column(3)
+                    size = np.diff(lists.offsets.to_numpy())
+                    own, p = np.repeat(np.arange(len(size)), size), place[lists.flatten().to_numpy()]
+                    tf = counts.flatten().to_numpy().astype(float)
+                    norm = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * one.column(1).to_numpy() / average)
+                    use = p >= 0
+                    own, p, tf = own[use], p[use], tf[use]
+                    m = np.zeros((len(size), len(codes)))
+                    m[own, p] = tf * (cfg.bm25_k1 + 1) / (tf + norm[own])
+                    score = np.round(m @ weight, 6)
+                    shares = (m > 0).astype(np.float32) @ (weight != 0).astype(np.float32) > 0
+                    d = np.where(shares, -score, np.inf).T
+                    best_d, best_i = _keep_best(best_d, best_i, d, np.broadcast_to(one.column(0).to_numpy(zero_copy_only=False), d.shape), k)
+            found = np.isfinite(best_d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])[found.reshape(-1)]), pa.array(best_i[found]), pa.array(-best_d[found])], names=[question_key, key, "score"])
+
+        src = index.select(F.col(key).cast("bigint").alias(key), "length", "codes", "counts")
+        found = src.mapInArrow(run, f"{question_key} bigint, {key} bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy(question_key).orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
@@ -154,16 +245,17 @@ def vector_top_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.ve
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                d = np.round((v * v).sum(1)[None, :] - 2 * qs @ v.T + (qs * qs).sum(1)[:, None], 6)
-                near_d = np.concatenate([near_d, d], axis=1)
-                near_i = np.concatenate([near_i, np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), d.shape)], axis=1)
-                order = np.lexsort((near_i, near_d), axis=1)[:, :k]
-                near_d, near_i = np.take_along_axis(near_d, order, 1), np.take_along_axis(near_i, order, 1)
+                step = max(1, 16_000_000 // (8 * len(ids)))  # a table of distances takes 16 MB at most
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    d = np.round((v * v).sum(1)[None, :] - 2 * qs @ v.T + (qs * qs).sum(1)[:, None], 6)
+                    near_d, near_i = _keep_best(near_d, near_i, d, np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), d.shape), k)
             m = near_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(near_i.reshape(-1)), pa.array(near_d.reshape(-1))], names=["query_id", key, "distance"])
 
-        found = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, f"query_id bigint, {key} bigint, distance double")
+        dimension = len(qs[0]) if len(qs) else 0
+        found = vectors.where(F.size(vector) == dimension).select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(run, f"query_id bigint, {key} bigint, distance double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -5,11 +5,12 @@ Nothing here sorts or windows over one session's messages; labels and times are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.config import DEFAULT, Config
 from lexweave.functions import text as X
+from lexweave.runtime import materialize
 
 
 def latest_pins(meta: DataFrame) -> DataFrame:
@@ -38,6 +39,21 @@ def list_sessions(messages: DataFrame, meta: DataFrame) -> DataFrame:
     return d.select("session_id", "pinned", "last_stored").orderBy(F.desc("pinned"), F.desc("last_stored"), F.lower("session_id"))
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """df with its place (from 1) in the given order: sorted by ranges, counted per range, no single task for all rows."""
+    d = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    d = materialize(d.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    offset = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(offset), "_range").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
+
+
+def placed_sessions(messages: DataFrame, meta: DataFrame) -> DataFrame:
+    """The list of sessions with the place of each."""
+    return numbered(list_sessions(messages, meta), F.desc("pinned"), F.desc("last_stored"), F.lower("session_id"), F.col("session_id"))
+
+
 def with_active(sessions: DataFrame, active: str) -> DataFrame:
     """The list with the active session at its head when it is not stored yet."""
     spark = sessions.sparkSession

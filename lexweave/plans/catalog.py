@@ -19,13 +19,15 @@ from lexweave.operators import memory as M
 from lexweave.operators import prompt as P
 from lexweave.operators import retrieve as R
 from lexweave.operators import sessions as S
-from lexweave.runtime import read_table
+from lexweave.runtime import materialize, read_table
+from lexweave.sources.files import all_documents, session_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 QUESTION = "借款合同到期不还，应当怎样收集证据并申请调解？"
 RARE = "鼋鼍 zq"
+ANSWER = "请先整理合同与付款记录，再向调解组织提出申请。"
 SMALL_BUDGET = replace(DEFAULT, max_tokens=200)
 CREATED = "2024-01-01 00:00:00"
 
@@ -133,28 +135,32 @@ _DIST = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambd
 VECTOR = f"""
 near as (select e.vec_id, {_DIST} as distance from embeddings e, (select embedding from embeddings where vec_id = 0) q),
 vec as (select vec_id, distance, row_number() over (order by distance, vec_id) as rank from near qualify rank <= 20)"""
-# Documents and vectors share their numbering by rank of id.
-NUMBERED = "numbered as (select doc_id, row_number() over (order by doc_id) - 1 as vec_id from documents)"
 HYBRID = f"""{_bm25(QUESTION)}, {VECTOR},
 lists as (select vec_id as doc_id, 0 as l, rank from vec union all select doc_id, 1 as l, rank from bm25),
 fused as (select doc_id, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, min({{'l': l, 'r': rank}}) as seen from lists group by 1),
 hybrid as (select doc_id, rrf_score, row_number() over (order by rrf_score desc, seen) as rank from fused qualify rank <= 6)"""
 
-MEM = """
+ONCE = """
 once as (select session_id, pos, arg_min(case type when 'user' then 'human' when 'assistant' then 'ai' else type end, msg_id) as type, arg_min({'c': content}, msg_id).c as content from history_store
-  where session_id is not null and pos is not null group by 1, 2),
+  where session_id is not null and pos is not null group by 1, 2)"""
+# After a turn: every session's messages with a question and an answer behind its last position.
+APPENDED = f"""{ONCE.replace("once as", "before as")},
+once as (select * from before union all select session_id, max(pos) + 1, 'human', '{QUESTION}' from before group by 1 union all select session_id, max(pos) + 2, 'ai', '{ANSWER}' from before group by 1)"""
+
+ROUNDS = """,
 summ as (select * from once where type = 'system' and coalesce(starts_with(content, '[SESSION_SUMMARY]'), false)),
 normal as (select * from once where not (type = 'system' and coalesce(starts_with(content, '[SESSION_SUMMARY]'), false)) or type is null),
 rn as (select *, row_number() over (partition by session_id order by pos) as k from normal),
 rounds as (select session_id, pos, type, content, (sum(case when type = 'human' and k > 1 then 1 else 0 end) over (partition by session_id order by pos rows unbounded preceding))::bigint as round_id from rn),
 totals as (select session_id, max(round_id) + 1 as total_rounds from rounds group by 1)"""
+MEM = ONCE + ROUNDS
 
 _TOK = "greatest(length(coalesce({c}, '')) // 2, 1) + 6"
 
 
-def _memory(budget: int) -> str:
+def _memory(budget: int, stored: str = MEM) -> str:
     line = "'[' || case type when 'human' then '用户' when 'ai' then '助手' else '系统' end || '] ' || coalesce(content, '')"
-    return f"""{MEM},
+    return f"""{stored},
 olds as (select session_id, {_strip("replace(arg_max(content, pos), '[SESSION_SUMMARY]', '')")} as old_summary from summ group by 1),
 trans as (select session_id, string_agg({line}, '\\n' order by pos) as t from rounds join totals using (session_id) where total_rounds >= 5 and round_id < total_rounds - 3 group by 1),
 ids as (select session_id from totals union select session_id from olds),
@@ -201,11 +207,23 @@ def doc_fingerprints(t):
     return t("documents").where("text is not null").groupBy(X.md5_hex(F.col("text")).alias("md5")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query(f"""with {UNITS}, h as (select upload_id, received_at, md5(text) as md5, upload_id in (select upload_id from units) as has_units from cleaned),
+@query(f"""with {UNITS}, h as (select upload_id, received_at, md5(coalesce(text, '')) as md5, upload_id in (select upload_id from units) as has_units from uploads),
 f as (select *, row_number() over (partition by md5 order by received_at nulls first, upload_id) as n from h)
 select upload_id, md5, case when md5 in (select md5 from fingerprints) or (has_units and n > 1) then 'repeat' when not has_units then 'warn' else 'success' end as status from f""")
 def ingest_status(t):
-    return I.ingest_status(t("uploads").where("text <> ''"), t("fingerprints"), hash_of="raw")
+    return I.ingest_status(t("uploads"), t("fingerprints"), hash_of="raw")
+
+
+_STORED_SQL = f"""with recursive {_packed(600, 0)}, h as (select upload_id, received_at, md5(coalesce(text, '')) as md5 from uploads),
+fresh as (select upload_id from h where md5 not in (select lower(trim(md5)) from fingerprints where md5 is not null) qualify row_number() over (partition by md5 order by received_at nulls first, upload_id) = 1)
+select c.*, coalesce(e.article_end, c.chunk_article_end) as article_end, coalesce(s.source, '') as source, '' as operator, '{CREATED}' as create_time
+from chunks c join fresh using (upload_id) left join ends e using (upload_id, chapter) join uploads s using (upload_id)"""
+
+
+@query(_STORED_SQL)
+def ingest_chunks(t):
+    # The whole upload driver: clean, drop what the registry holds, structure, pack, describe; empty uploads give nothing.
+    return I.ingest(t("uploads"), t("fingerprints"), create_time=CREATED, hash_of="raw")
 
 
 @query(f"with {UNITS} select * from units")
@@ -268,6 +286,40 @@ def carried_metadata(t):
     return out.select("upload_id", "scope_ord", "chunk_no", "article_no", "chunk_article_end", "part", "chapter", "section", "article_end")
 
 
+_PLAIN = 240
+
+
+def _last(kind: str) -> str:
+    m = f"regexp_extract_all(text, '(?m)^第{X.NUM}{kind}{W}*[^\\n]*$')"
+    return f"{_strip(f'({m})[len({m})]')}"
+
+
+@query(f"""with {CLEAN}, pl as (select upload_id, unnest(generate_series(0, (length(cleaned) - 1) // {_PLAIN})) as ord, cleaned from cleaned where cleaned <> ''),
+pt as (select upload_id, ord::bigint as ord, substr(cleaned, ord::int * {_PLAIN} + 1, {_PLAIN}) as text from pl),
+found as (select *, {_last('编')} as p, {_last('章')} as c, {_last('节')} as s, regexp_extract_all(text, '{ART}') as nos from pt),
+carried as (select upload_id, ord, nos, coalesce(last_value(p ignore nulls) over w, '') as part,
+  coalesce(last_value(case when c is not null then c when p is not null then '' end ignore nulls) over w, '') as chapter,
+  coalesce(last_value(case when s is not null then s when p is not null or c is not null then '' end ignore nulls) over w, '') as section,
+  last_value(case when len(nos) > 0 then {_strip('nos[len(nos)]')} end ignore nulls) over w as carry from found window w as (partition by upload_id order by ord rows unbounded preceding)),
+ls as (select upload_id, unnest(string_split(cleaned, {NL})) as l0, generate_subscripts(string_split(cleaned, {NL}), 1) as pos from cleaned),
+ll as (select upload_id, pos, {_strip('l0')} as line from ls),
+lc as (select *, regexp_matches(line, '^第{X.NUM}章') as is_c, last_value(case when regexp_matches(line, '^第{X.NUM}章') then line end ignore nulls) over (partition by upload_id order by pos rows unbounded preceding) as chapter,
+  regexp_extract_all(line, '{ART}') as nos from ll where line <> ''),
+ce as (select upload_id, chapter, arg_max({_strip('nos[len(nos)]')}, pos) as e from lc where not is_c and chapter is not null and len(nos) > 0 group by 1, 2)
+select upload_id, ord, part, chapter, section, coalesce({_strip('nos[1]')}, carry, '') as article_no, coalesce({_strip('nos[len(nos)]')}, '') as chunk_article_end,
+  coalesce(nullif(e, ''), {_strip('nos[len(nos)]')}, '') as article_end from carried left join ce using (upload_id, chapter)""")
+def legacy_metadata(t):
+    # Texts cut by length, with their headings: what is carried, reset and joined by chapter shows here.
+    docs = _cleaned(t)
+    out = I.carried_metadata(I.plain_chunks(docs, "upload_id", "cleaned", _PLAIN), "upload_id", "ord", I.line_chapter_ends(docs, "upload_id", "cleaned"))
+    return out.select("upload_id", "ord", "part", "chapter", "section", "article_no", "chunk_article_end", "article_end")
+
+
+@query("select " + ", ".join(f"coalesce({c}, '') as {c}" for c in ("source", "part", "chapter", "section", "article_no", "article_end", "chunk_article_end", "text", "operator", "create_time")) + ", chunk_id, ingested_at from legal_chunker")
+def stored_chunks(t):
+    return all_documents(t("legal_chunker"))
+
+
 # --- retrieval -----------------------------------------------------------------------------------------------------
 
 
@@ -281,6 +333,24 @@ def bm25_topk(t):
     return R.bm25_top(t("documents"), QUESTION)
 
 
+@query(f"""with docs as (select doc_id, coalesce(text, '') as text from documents),
+toks as (select doc_id, unnest(regexp_extract_all(text, '[^{X.WS}]')) as token from docs),
+tf as (select doc_id, token, count(*) as tf from toks group by 1, 2),
+dl as (select doc_id, sum(tf)::double as dl from tf group by 1),
+n as (select (select count(*) from docs)::double as n, (select sum(tf) from tf)::double / (select count(*) from docs) as avgdl),
+df as (select token, count(*)::double as df from tf group by 1),
+rawidf as (select token, ln(n - df + 0.5::double) - ln(df + 0.5::double) as raw from df, n),
+idf as (select token, case when raw < 0 then (select avg(raw) from rawidf) * 0.25::double else raw end as idf from rawidf),
+qt as (select item_id, unnest(regexp_extract_all(question, '[^{X.WS}]')) as token from eval_items where question is not null),
+q as (select item_id, token, count(*) as times from qt group by 1, 2),
+scored as (select item_id, tf.doc_id, round(sum(q.times * i.idf * tf.tf * 2.5::double / (tf.tf + 1.5::double * (0.25::double + 0.75::double * dl.dl / n.avgdl))), 6) as score
+  from tf join q using (token) join idf i using (token) join dl using (doc_id), n group by 1, 2)
+select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored qualify rank <= 20""")
+def bm25_topk_batch(t):
+    index = materialize(R.character_index(t("documents")), "character-index")
+    return R.bm25_top_batch(index, t("eval_items"), question_key="item_id")
+
+
 @query(f"with {_bm25(RARE)} select * from bm25")
 def bm25_topk_zero_fill(t):
     return R.bm25_top(t("documents"), RARE)
@@ -313,13 +383,14 @@ def vector_topk_batch(t):
     return R.vector_top_batch(e, e.where("vec_id % 50 = 0"))
 
 
-@query("""with l(k, l, rank, body) as (values ('A', 0, 1, 'vA'), ('B', 0, 2, 'vB'), ('B', 1, 1, 'bB'), ('A', 1, 2, 'bA'), ('C', 1, 3, 'bC'))
-select k, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, arg_max(body, l * 1000 + rank) as body, row_number() over (order by round(sum(1.0::double / (60 + rank)), 9) desc, min(l * 1000 + rank)) as rank from l group by 1""")
+@query(f"""with {_bm25(QUESTION)}, {VECTOR},
+l as (select vec_id as doc_id, 0 as l, rank, distance as value from vec union all select doc_id, 1 as l, rank, score as value from bm25)
+select doc_id, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, arg_max(value, l * 1000 + rank) as value, row_number() over (order by round(sum(1.0::double / (60 + rank)), 9) desc, min(l * 1000 + rank)) as rank from l group by 1""")
 def rrf_fusion(t):
-    spark = t("embeddings").sparkSession
-    v = spark.createDataFrame([("A", 1, "vA"), ("B", 2, "vB")], "k string, rank int, body string")
-    b = spark.createDataFrame([("B", 1, "bB"), ("A", 2, "bA"), ("C", 3, "bC")], "k string, rank int, body string")
-    return R.rrf_fuse([v, b], ["k"], carry=["body"])
+    # Both whole ranked lists, with a column carried along from the list seen last.
+    near = R.vector_top(t("embeddings"), _first_vector(t)).select(F.col("vec_id").alias("doc_id"), "rank", F.col("distance").alias("value"))
+    words = R.bm25_top(t("documents"), QUESTION).select("doc_id", "rank", F.col("score").alias("value"))
+    return R.rrf_fuse([near, words], ["doc_id"], DEFAULT.vector_k + DEFAULT.bm25_k, carry=["value"])
 
 
 def _hybrid(t) -> DataFrame:
@@ -337,6 +408,29 @@ def hybrid_search(t):
     return _hybrid(t)
 
 
+_OF = "(select source from legal_chunker where source is not null group by 1 order by count(*) desc, 1 limit 1)"
+_KEY = "concat_ws('|', coalesce(source, ''), coalesce(chapter, ''), coalesce(article_no, ''), coalesce(chunk_article_end, ''), left(coalesce(text, ''), 120))"
+
+
+@query(f"""with documents as (select chunk_id as doc_id, * from legal_chunker where source = {_OF}), {_bm25(QUESTION)},
+near as (select d.doc_id, {_DIST} as distance from embeddings e join documents d on d.doc_id = e.vec_id, (select embedding from embeddings where vec_id = 0) q),
+vec as (select doc_id, row_number() over (order by distance, doc_id) as rank from near qualify rank <= 20),
+lists as (select doc_id, 0 as l, rank from vec union all select doc_id, 1 as l, rank from bm25),
+fused as (select {_KEY} as doc_key, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, min({{'l': l, 'r': rank}}) as seen, arg_max(text, {{'l': l, 'r': rank}}) as text
+  from lists join (select doc_id, source, chapter, article_no, chunk_article_end, text from documents) using (doc_id) group by 1)
+select doc_key, rrf_score, text, row_number() over (order by rrf_score desc, seen) as rank from fused qualify rank <= 6""")
+def hybrid_by_source(t):
+    # One source only, chunks told apart by their document key: stored copies of a chunk are one result.
+    c = t("legal_chunker")
+    most = c.where("source is not null").groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    cfg = replace(DEFAULT, source_filter=most["source"] if most else "")
+    d = R.by_source(c, cfg).select("chunk_id", R.document_key(F.col("source"), F.col("chapter"), F.col("article_no"), F.col("chunk_article_end"), F.col("text")).alias("doc_key"), "text")
+    query = _first_vector(t)
+    near = lambda q, k: R.vector_top(t("embeddings").join(d.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi"), query, k).withColumnRenamed("vec_id", "chunk_id").join(d, "chunk_id")
+    words = lambda q, k: R.bm25_top(d, q, k, "chunk_id").join(d, "chunk_id")
+    return R.HybridRetriever(near, words, ["doc_key"], ["text"], cfg).retrieve(QUESTION)
+
+
 _EVID = """h as (select hybrid.rank, coalesce(d.source, '') as source, coalesce(d.statute, '') as chapter, coalesce(d.lang, '') as article_no, coalesce(d.text, '') as text from hybrid left join documents d using (doc_id)),
 ctx as (select string_agg('source=' || source || ' chapter=' || chapter || ' article=' || article_no || '\\n原文片段：' || text, '\\n\\n' order by rank) as context from h)"""
 
@@ -391,6 +485,35 @@ def memory_compress(t):
     return M.compress(t("history_store"))
 
 
+def _turn(t) -> DataFrame:
+    """A question and its answer for every session stored."""
+    some = t("history_store").where("session_id is not null and pos is not null").select("session_id").distinct()
+    two = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("type"), F.lit(c).alias("content")) for i, (k, c) in enumerate((("human", QUESTION), ("ai", ANSWER)))])
+    return some.select("session_id", F.explode(two).alias("m")).select("session_id", "m.*")
+
+
+@query(f"with {APPENDED} select session_id, pos, type, content from once")
+def history_append(t):
+    return M.append_messages(t("history_store"), _turn(t)).select("session_id", "pos", "type", "content")
+
+
+@query(f"with {_memory(4000, APPENDED + ROUNDS)} select session_id, to_json(list({{'type': type, 'data': {{'content': coalesce(content, ''), 'type': type}}}} order by ord))::varchar as json from compressed group by 1")
+def history_after_turn(t):
+    # What a turn leaves in each session's file: read, append, compress, written anew.
+    return session_json(M.add_messages(t("history_store"), _turn(t)))
+
+
+_LINE = "'[' || case type when 'human' then '用户' when 'ai' then '助手' else '系统' end || '] ' || coalesce(content, '')"
+
+
+@query(f"""with {HYBRID}, {_EVID}, {_memory(4000)}, past as (select session_id, string_agg({_LINE}, {NL} order by ord) as history from compressed group by 1)
+select session_id, '{P.TEMPLATE.replace("{sep}", chr(92) + "n").split("{context}")[0]}' || context || {NL} || case when coalesce(history, '') <> '' then history || {NL} else '' end || '问题：{QUESTION}' as prompt
+from (select distinct session_id from once) left join past using (session_id), ctx""".replace("select * from _", ""))
+def session_prompts(t):
+    asked = t("history_store").where("session_id is not null and pos is not null").select("session_id").distinct().withColumn("question", F.lit(QUESTION))
+    return P.session_prompts(t("history_store"), asked, _evidence(t)).select("session_id", "prompt")
+
+
 # --- sessions ------------------------------------------------------------------------------------------------------
 
 
@@ -427,3 +550,34 @@ def session_delete(t):
 select * from seen union all select distinct session_id, 0::bigint, 'assistant', '{DEFAULT.greeting}' from once where session_id not in (select session_id from seen)""")
 def ui_history(t):
     return S.display_history(t("history_store"))
+
+
+_LIST = f"p as ({_PINS}), s as (select session_id, max(stored_at) as last_stored from history_store where starts_with(session_id, 'chat_') group by 1), sl as (select session_id, coalesce(pinned, false) as pinned, last_stored from s left join p using (session_id))"
+
+
+@query(f"with {_LIST} select *, row_number() over (order by pinned desc, last_stored desc nulls last, lower(session_id), session_id) as place from sl")
+def session_places(t):
+    return S.placed_sessions(t("history_store"), t("session_meta"))
+
+
+@query(f"""with {_LIST}, hm as (select session_id, arg_min(content, pos * 1000000000 + msg_id) as c from history_store where type in ('human', 'user') and content is not null and session_id is not null group by 1)
+select session_id, pinned, last_stored, coalesce(nullif(left({_strip('c')}, 15), ''), '新会话') as label, session_id = 'chat_000000000000' as active from sl left join hm using (session_id)""")
+def session_sidebar(t):
+    return S.sidebar(t("history_store"), t("session_meta"), "chat_000000000000")
+
+
+@query(f"with {_LIST} select session_id, pinned, last_stored, 1::bigint as place from sl union all select 'chat_000000000000', false, null, 0 where 'chat_000000000000' not in (select session_id from sl)")
+def session_active(t):
+    return S.with_active(S.list_sessions(t("history_store"), t("session_meta")), "chat_000000000000")
+
+
+@query("""with log as (select session_id, case when pinned then 'pin' when not pinned then 'unpin' else 'delete' end as act, updated_at as ts from session_meta where session_id is not null and updated_at is not null),
+one as (select session_id, ts, max(act) as act from log group by 1, 2),
+ends as (select session_id, arg_max(act, ts) as final, arg_max(act, ts) filter (act <> 'delete') as pin from one group by 1)
+select session_id, pin = 'pin' as pinned from ends where final <> 'delete' and pin is not null""")
+def session_actions(t):
+    # Each row of the metadata read as an action; of actions at one time the last by name counts.
+    m = t("session_meta").where("session_id is not null and updated_at is not null")
+    log = m.select("session_id", F.when(F.col("pinned"), "pin").when(~F.col("pinned"), "unpin").otherwise("delete").alias("action"), F.col("updated_at").alias("at"))
+    log = log.groupBy("session_id", "at").agg(F.max("action").alias("action"))
+    return S.apply_actions(t("session_meta").limit(0), log)[0]

@@ -59,31 +59,54 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where the session names none and runs locally."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all machines share")
         sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="lexweave-")).as_uri())
     return sc.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder; what stands there is deleted by release(), clear_written() or with the application."""
+    path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts lineage, survives lost executors, prunes columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexweave_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     for df in frames:
-        path = getattr(df, "_lexweave_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_lexweave_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete all that is left of this session's written tables, once its results have been consumed."""
+    for path in list(_written):
+        _delete(spark, path)

@@ -119,3 +119,32 @@ def test_small_session_functions(spark):
     r = text.select(X.last_match(F.col("t"), X.ARTICLE).alias("a"), X.last_match(F.col("t"), X.heading_lines("章")).alias("c"), X.last_match(F.col("t"), X.heading_lines("节")).alias("s"), X.all_matches(F.col("t"), X.ARTICLE).alias("l")).first()
     assert (r.a, r.c, r.s, r.l) == ("第九条", "第一章\n第二条　见第九条", None, ["第二条", "第九条"])
     assert M.summary_prompt is not None and spark.range(1).select(M.summary_prompt(F.lit(""), F.lit("x")).alias("p")).first().p.count("（无）") == 1
+
+
+def test_a_turn_reads_asks_appends_and_compresses(spark):
+    from lexweave.operators import prompt as P
+    from lexweave.operators import memory as M
+
+    stored = spark.createDataFrame([(1, "s", 0, "human", "问一"), (2, "s", 1, "ai", "答一"), (3, "s", 1, "ai", "答一")], "msg_id bigint, session_id string, pos bigint, type string, content string")
+    asked = spark.createDataFrame([("s", "问二"), ("new", "头一问")], "session_id string, question string")
+    context = spark.createDataFrame([("资料",)], "context string")
+    answered, history = P.chat_turn(stored, asked, context, model=lambda prompts: [f"答{len(p)}" for p in prompts])
+    got = {r.session_id: r for r in answered.collect()}
+    assert "[用户] 问一\n[助手] 答一\n问题：问二" in got["s"].prompt and got["s"].answer == f"答{len(got['s'].prompt)}"
+    assert "[用户]" not in got["new"].prompt
+    rows = {}
+    for r in history.orderBy("session_id", "ord").collect():
+        rows.setdefault(r.session_id, []).append((r.ord, r.type, r.content))
+    assert rows["s"] == [(0, "human", "问一"), (1, "ai", "答一"), (2, "human", "问二"), (3, "ai", got["s"].answer)]
+    assert rows["new"] == [(0, "human", "头一问"), (1, "ai", got["new"].answer)]
+    assert M.add_messages(stored.limit(0), stored.limit(0).drop("msg_id")).count() == 0
+
+
+def test_places_of_rows_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from lexweave.operators.sessions import numbered
+
+    d = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 500).alias("v"))
+    assert all(r.place == r.v + 1 for r in numbered(d, "v").collect())
+    assert numbered(d.limit(0), "v").count() == 0

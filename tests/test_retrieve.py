@@ -43,6 +43,24 @@ def test_bm25_without_matching_token(spark):
     assert R.bm25_top(d.limit(0), "甲", 5).count() == 0
 
 
+def test_bm25_of_many_questions_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("甲乙丙丁戊己庚辛 壬癸"), int(n))) for n in rng.integers(0, 60, 80)] + [None, "甲甲"]
+    asked = [(7, "甲乙乙 子"), (8, "癸"), (9, ""), (10, None), (11, "子丑"), (None, "甲")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    q = spark.createDataFrame(asked, "query_id int, question string")
+    for block in (2, 1024):
+        got = {}
+        for r in R.bm25_top_batch(R.character_index(d), q, 5, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert set(got) == {7, 8}
+        for i, t in asked[:2]:
+            want = brute_bm25(texts, t)
+            order = sorted((i for i in range(len(texts)) if any(c in (texts[i] or "") for c in t if not c.isspace())), key=lambda i: (-want[i], i))[:5]
+            assert [i for i, _ in got[i]] == order and all(abs(s - want[k]) < 1e-5 for k, s in got[i])
+    assert R.bm25_top_batch(R.character_index(d.limit(0)), q).count() == 0 and R.bm25_top_batch(R.character_index(d), q.limit(0)).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(40, 8)).astype("float32")

@@ -40,7 +40,7 @@ def test_stores(spark, tmp_path):
     d = spark.createDataFrame([("t", None, "h"), ("u", "c", "h")], "text string, chapter string, md5 string")
     S.append_chunks(d.drop("md5"), str(tmp_path / "c"))
     S.append_fingerprints(d, str(tmp_path / "f"))
-    assert {r.chapter for r in S.all_documents(spark, str(tmp_path / "c")).collect()} == {"", "c"}
+    assert {r.chapter for r in S.all_documents(spark.read.parquet(str(tmp_path / "c"))).collect()} == {"", "c"}
     assert spark.read.parquet(str(tmp_path / "f")).count() == 1
 
 
@@ -66,3 +66,42 @@ def test_memory_stream_keeps_recent_rounds(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("mem").collect()
     assert len(r) == 1 and r[0].rounds == 1 and r[0].summary == "[用户] human0\\n[助手] ai0\\n[用户] human1\\n[助手] ai1"
+
+
+def test_one_session_is_read_alone(spark, tmp_path):
+    for name, text in (("chat_0123456789ab", "甲"), ("chat_ba9876543210", "乙")):
+        (tmp_path / name).write_text(json.dumps([{"type": "human", "data": {"content": text, "type": "human"}}]), encoding="utf-8")
+    got = S.read_session(spark, str(tmp_path), "chat_0123456789ab")
+    assert [(r.session_id, r.content) for r in got.collect()] == [("chat_0123456789ab", "甲")] and len(got.inputFiles()) == 1
+    assert S.read_session(spark, str(tmp_path), "../chat_0123456789ab").count() == 0
+    assert S.read_session(spark, str(tmp_path), "chat_000000000000").count() == 0
+
+
+@pytest.mark.parametrize("name", [".session_meta.json", "meta.json"])
+def test_metadata_is_saved_and_read_again(spark, tmp_path, name):
+    path = str(tmp_path / name)
+    pins = spark.createDataFrame([("b", True), ("a", None), (None, True)], "session_id string, pinned boolean")
+    for _ in range(2):  # written over what is there
+        S.save_session_meta(pins, path)
+    assert json.loads((tmp_path / name).read_text(encoding="utf-8")) == {"a": {"pinned": False}, "b": {"pinned": True}}
+    assert sorted(map(tuple, S.read_session_meta(spark, path).collect())) == [("a", False), ("b", True)]
+    S.save_session_meta(pins.limit(0), path)
+    assert S.read_session_meta(spark, path).count() == 0 and S.read_session_meta(spark, path + "x").count() == 0
+    (tmp_path / f".{name}.crc").unlink(missing_ok=True)
+    (tmp_path / name).write_text("no json")
+    assert S.read_session_meta(spark, path).count() == 0
+
+
+def test_written_tables_are_deleted(spark, tmp_path):
+    from lexweave import runtime
+
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        one, two = (runtime.materialize(spark.range(3), n) for n in ("one", "two"))
+        assert one.count() == two.count() == 3 and len(list((tmp_path / "lexweave").iterdir())) == 2
+        runtime.release(one)
+        assert two.count() == 3
+        runtime.clear_written(spark)
+        assert list((tmp_path / "lexweave").iterdir()) == []
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
