@@ -92,16 +92,13 @@ def test_metadata_is_saved_and_read_again(spark, tmp_path, name):
     assert S.read_session_meta(spark, path).count() == 0
 
 
-def test_written_tables_are_deleted(spark, tmp_path):
+def test_written_tables_are_deleted(spark, tmp_path, monkeypatch):
     from lexweave import runtime
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one, two = (runtime.materialize(spark.range(3), n) for n in ("one", "two"))
-        assert one.count() == two.count() == 3 and len(list((tmp_path / "lexweave").iterdir())) == 2
-        runtime.release(one)
-        assert two.count() == 3
-        runtime.clear_written(spark)
-        assert list((tmp_path / "lexweave").iterdir()) == []
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: tmp_path.as_uri())
+    one, two = (runtime.materialize(spark.range(3), n) for n in ("one", "two"))
+    assert one.count() == two.count() == 3 and len(list((tmp_path / "lexweave").iterdir())) == 2
+    runtime.release(one)
+    assert two.count() == 3
+    runtime.clear_written(spark)
+    assert list((tmp_path / "lexweave").iterdir()) == []
