@@ -1,11 +1,14 @@
 """Visually identical text in one ordinary form.
 
-Method: compatibility normalisation in composed form, mapped whitespace, removal of default-ignorable characters,
-look-alike letters resolved by the script of their word, and (for the comparison key) full case folding; run once
-per distinct value of a batch, and only on values that hold a suspicious character at all (tested JVM-side).
-
-Kept as they are: rare ideographs, Chinese punctuation, unit signs and circled digits, one U+3000 after an article
-label, composed accents, words wholly in their own script. Null stays null, an empty value stays empty.
+Method: compatibility normalisation in composed form of every letter, digit and radical, mapped whitespace, removal of
+default-ignorable characters, look-alike letters resolved by the script of their word, and (for the comparison key)
+full case folding; run once per distinct value of a batch, and only on values that hold anything but plainly
+ordinary characters (tested JVM-side).
+
+Kept as they are, against compatibility normalisation: punctuation of any width, unit signs, circled and raised numbers
+(all that is neither letter nor digit, and numbers of the category No), letters up to U+024F, one U+3000 after an
+article label, words wholly in their own script. Letter-like signs and Greek symbol letters stand for a letter inside
+a word only. Null stays null, an empty value stays empty.
 """
 
 from __future__ import annotations
@@ -19,21 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Code point ranges of the Unicode standard.
-IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
+IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 SPACES = [(0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F)]
 BREAKS = [(0x85, 0x85), (0x2028, 0x2029)]
-COMPAT = [(0x2E9F, 0x2E9F), (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0x3038, 0x303A), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF65, 0xFF9F), (0x1D400, 0x1D7FF), (0x2F800, 0x2FA1F)]
-MARKS = [(0x300, 0x36F)]
-SCRIPTS = [(0x370, 0x3FF), (0x400, 0x52F)]
-KANA = [(0x30A1, 0x30FA), (0x30FC, 0x30FC)]
-RINGS = [(0x25CB, 0x25CB), (0x25EF, 0x25EF)]
+#: Never in need of a look: ASCII, Latin letters, ideographs, kana but katakana, punctuation, numbered and unit signs, drawings.
+PLAINLY = [(0x0, 0x7F), (0xA1, 0xAC), (0xAE, 0x24F), (0x2012, 0x2027), (0x2030, 0x205E), (0x2070, 0x20CF), (0x2103, 0x2103), (0x2109, 0x2109), (0x2190, 0x2211), (0x2213, 0x25CA), (0x25CC, 0x25EE), (0x25F0, 0x27BF), (0x3001, 0x3037), (0x303B, 0x309E), (0x30FB, 0x30FB), (0x3200, 0x4DBF), (0x4E00, 0x9FFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF64), (0xFFE0, 0xFFE6), (0x20000, 0x2F7FF), (0x30000, 0x323AF)]
+#: Compatibility letters that are ordinary in their own script: Thai to Tibetan vowels, jamo, digraphs of kana.
+OWN = [(0xE00, 0xFFF), (0x3130, 0x318F), (0x309F, 0x309F), (0x30FF, 0x30FF), (0xFFA1, 0xFFDC)]
+#: Letter-like signs, modifier letters and symbol forms of Greek letters: a letter only inside a word.
+SIGNS = [(0x2B0, 0x2FF), (0x3D0, 0x3F6), (0x1D2C, 0x1DBF), (0x2100, 0x214F)]
 HYPHENS = [(0x2010, 0x2011), (0x2212, 0x2212)]
 # Radicals without a compatibility mapping and the simplified ideograph each stands for.
 RADICALS = dict(zip("⺟⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻩⻬⻮⻰⻳", "母民虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟黄齐齿龙龟"))
-# Letters that look like a Latin letter.
-LOOKS = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTYXaeopcyxsijhdqwABEZHIKMNOPTYXo"))
-#: Only inside a word that also has Latin letters; alone they are symbols of their own.
-LOOKS_MIXED = LOOKS | dict(zip("ανιρυκвкмнт", "avipukbkmht"))
+# Cyrillic and Greek letters that look like a Latin letter.
+LOOKS = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABESIJKMHOPCTYXaeopcyxsijhdqwIABEZHIKMNOPTYXo"))
+# Letters that look like a Latin letter inside a word that also has Latin ones; alone they are their own.
+LOOKS_MIXED = LOOKS | dict(zip("ανιρυκвкмнтӏүҮ", "avipukbkmhtlyY"))
+LOOKS_MIXED |= dict(zip("օսոհցզյՕՍԼՏ", "ounhgqjOULS"))
+LOOKS_MIXED |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"))
+LOOKS_MIXED |= dict(zip("ɑɡɩʏꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "agiYBPdDTGKJCZFNLSRVHWXYAEIOU"))
 #: The other way round, for a Cyrillic word with a few Latin letters in it.
 LATIN_TO_CYRILLIC = {v: k for k, v in reversed(LOOKS.items()) if "\u0400" <= k <= "\u04ff"}
 # Katakana that look like an ideograph.
@@ -48,21 +55,40 @@ def _py(ranges: list[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-_ALL = IGNORABLE + SPACES + BREAKS + COMPAT + MARKS + SCRIPTS + KANA + RINGS + HYPHENS + [(ord(c), ord(c)) for c in RADICALS]
-SUSPECT_JAVA = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ALL) + "]|(?<!条)\\x{3000}"
-SUSPECT = re.compile("[" + _py(_ALL) + "]|(?<!条)\u3000")
+def _java(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+SUSPECT_JAVA = f"[^{_java(PLAINLY)}\\x{{3000}}]|(?<!条)\\x{{3000}}"
+SUSPECT = re.compile(f"[^{_py(PLAINLY)}\u3000]|(?<!条)\u3000")
+
+
+def _compatible(c: int) -> str | None:
+    """What a letter, digit or radical is under compatibility composition, if that is something else."""
+    ch = chr(c)
+    kind = unicodedata.category(ch)
+    if kind[0] != "L" and kind not in ("Nd", "Nl") and not (0x2E80 <= c <= 0x2FD5 or 0x3038 <= c <= 0x303A):
+        return None
+    n = unicodedata.normalize("NFKC", ch)
+    return n if n != ch and unicodedata.normalize("NFC", ch) != n or 0xF900 <= c <= 0xFAFF or 0x2F800 <= c <= 0x2FA1F else None
+
 
-_CHARS: dict[int, str | None] = dict.fromkeys(_expand(IGNORABLE))
-_CHARS |= {c: unicodedata.normalize("NFKC", chr(c)) for c in _expand(COMPAT)}
+_KEPT = set(_expand(OWN))
+_LETTERS = {c: n for c in [*range(0x250, 0x3400), *range(0xA640, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x2F800, 0x2FA20)] if c not in _KEPT and (n := _compatible(c))}
+_SIGNS = {chr(c): n for c in _expand(SIGNS) if (n := _LETTERS.pop(c, None) or _compatible(c) or (c in (0x212A, 0x212B) and unicodedata.normalize("NFC", chr(c))))}
+_CHARS: dict[int, str | None] = dict.fromkeys(_expand(IGNORABLE)) | _LETTERS
 _CHARS |= {ord(k): v for k, v in RADICALS.items()} | dict.fromkeys(_expand(BREAKS), "\n")
+_SIGN = "[" + re.escape("".join(_SIGNS)) + "]"
+_IN_WORD = re.compile(f"(?<=[A-Za-z]){_SIGN}+|{_SIGN}+(?=[A-Za-z])")
 
 _SPACE = "[" + _py(SPACES) + "]"
 _LABEL_SPACE = re.compile(rf"(?m)^(第[^\s\u3000]{{1,16}}条){_SPACE}")
 _ANY_SPACE = re.compile(_SPACE)
 _LABEL_WIDE = re.compile("(?m)^(第[^\\s]{1,16})\u3000")
 _STRAY_WIDE = re.compile("(?<!条)\u3000")
-_WORD = re.compile("[A-Za-z\u00c0-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f]+")
-_OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_OTHERS = "\u0250-\u02af\u0370-\u03ff\u0400-\u052f\u0531-\u0587\u13a0-\u13ff\ua4d0-\ua4ff"
+_WORD = re.compile(f"[A-Za-z\u00c0-\u024f\u0300-\u036f{_OTHERS}]+")
+_OTHER = re.compile(f"[{_OTHERS}]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 _KANA_RUN = re.compile("[\u30a1-\u30fa\u30fc]+")
 _NUMERAL = "一二三四五六七八九十百千零〇○◯0-9"
@@ -77,7 +103,8 @@ def _words(text: str) -> str:
     kind = []
     for _, _, w in found:
         o, latin = _OTHER.findall(w), _LATIN.search(w)
-        kind.append("latin" if not o else "mixed" if latin else "own" if any(c not in LOOKS for c in o) else "fake")
+        spoken = any("\u0250" <= c <= "\u02af" and c not in LOOKS_MIXED for c in o)  # phonetic spelling
+        kind.append("latin" if not o else "own" if spoken else "mixed" if latin else "own" if any(c not in LOOKS for c in o) else "fake")
     out, at = [], 0
     for i, (a, b, w) in enumerate(found):
         k = kind[i]
@@ -113,6 +140,7 @@ def ordinary(text: str) -> str:
     if not text or not SUSPECT.search(text):
         return text
     t = text.translate(_CHARS)
+    t = _IN_WORD.sub(lambda m: "".join(_SIGNS[c] for c in m.group()), t)
     t = _ANY_SPACE.sub(" ", _LABEL_SPACE.sub("\\1\u3000", t))
     if _STRAY_WIDE.search(t):
         t = _LABEL_WIDE.sub("\\1\ue000", t)
@@ -127,7 +155,7 @@ def ordinary(text: str) -> str:
     return _HYPHEN.sub("-", _RING.sub("〇", t))
 
 
-_MARK = re.compile("[\u0300-\u036f]")
+_MARK = re.compile("[\u0300-\u036f\u3099\u309a]")
 
 
 def _has_mark(t: str) -> bool:

@@ -86,7 +86,21 @@ FAKES = {
     "甲　乙": "甲 乙",
     "（ー）拒绝": "（一）拒绝",
 }
-PLAIN = ["第一条　甲乙，丙（丁）。\r\n", "《Договор о переправах》", "《Акт о реках》", "α射线、β系数", "㎡与①和℃", "𠮷棠𣲙塘", "データ", "Zérah Ørsel São", "二〇四", "half, width; 1%", "", "ー"]
+FAKES |= {
+    "\u212aelvin": "Kelvin",
+    "ℳode": "Mode",
+    "第Ⅷ级": "第VIII级",
+    "ⅰ": "i",
+    "ɡood": "good",
+    "pӏan": "plan",
+    "օk": "ok",
+    "Ꭺbc": "Abc",
+    "甲\U0001bca0乙": "甲乙",
+    "ﬁle": "file",
+    "𝟛号": "3号",
+    "ｶﾞｽ": "ガス",
+}
+PLAIN = ["第一条　甲乙，丙（丁）。\r\n", "《Договор о переправах》", "《Акт о реках》", "α射线、β系数", "㎡与①和℃", "𠮷棠𣲙塘", "データ", "Zérah Ørsel São", "二〇四", "half, width; 1%", "", "ー", "300 \u212a", "5ℓ", "10Ω与m²", "№ 3、½、⑴ ㈠ Ⓐ", "…，％（A）～", "ŀla ĳs", "ภาษาไทยน้ำ", "ㅋㅋ", "Հայերեն", "ᏣᎳᎩ", "ϑ", "[ɡʊd]", "ℝ", "السلام"]
 
 
 def test_ordinary_forms():
