@@ -6,10 +6,9 @@ stands left, right and near it. Expectation-maximisation over the counts of vote
 labeller is; its posteriors train the final span classifier, a logistic regression over votes, length and neighbouring
 characters, which decides every span. Of overlapping spans the more probable, then longer one stays.
 
-Scale: messages are read once for the spans (no shuffle), a second time for redaction; the spans are written to the
-shared folder; vote patterns are
-counted in Spark, at most 3 ** 6 per kind reach the driver, and TRAIN_ROWS spans of them train the classifier. All
-messages are scored.
+Scale: messages are read once (no shuffle); they are written to the shared folder with their spans, and deleted there as
+soon as the result is. Vote patterns are counted in Spark, at most 3 ** 6 per kind reach the driver, and TRAIN_ROWS
+spans of them train the classifier. All messages are scored.
 
 Null and empty messages hold nothing and stay as they are; repeated messages count each. Values are the exact
 substrings of the content.
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.labelmodel import posteriors
-from lexweave.runtime import materialize
+from lexweave.runtime import materialize, release
 
 KINDS = ("NAME", "PHONE", "ID_NUMBER", "EMAIL", "ADDRESS")
 #: The classifier is trained on at most so many spans, taken by the hash of message and place.
@@ -189,8 +188,8 @@ def _features(text: str, kind: str, a: int, b: int, votes: str) -> list[int]:
 _SPAN = "array<struct<kind:string,a:int,b:int,votes:string,features:array<int>>>"
 
 
-def propose(messages: DataFrame) -> DataFrame:
-    """(msg_id, content, spans) of the messages in which anything is proposed."""
+def propose(messages: DataFrame, everything: bool = False) -> DataFrame:
+    """(msg_id, content, spans) of the messages in which anything is proposed, or of all."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +197,8 @@ def propose(messages: DataFrame) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for i, t in zip(ids, texts):
-                found = spans(t)
-                if found:
+                found = spans(t) if t else []
+                if found or everything:
                     one = []
                     for k, a, b in found:
                         v = vote_string(t, k, a, b, found)
@@ -209,7 +208,8 @@ def propose(messages: DataFrame) -> DataFrame:
                 i, t, s = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t, pa.string()), pa.array(s, kind)], names=["msg_id", "content", "spans"])
 
-    src = messages.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.col("content").cast("string").alias("content")).where(F.length("content") > 0)
+    src = messages.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.col("content").cast("string").alias("content"))
+    src = src if everything else src.where(F.length("content") > 0)
     return src.mapInArrow(run, f"msg_id bigint, content string, spans {_SPAN}")
 
 
@@ -258,28 +258,26 @@ def find_pii(messages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["msg_id", "pii_kind", "pii_value"])
 
-    return proposed.mapInArrow(run, "msg_id bigint, pii_kind string, pii_value string")
+    out = materialize(proposed.mapInArrow(run, "msg_id bigint, pii_kind string, pii_value string"), "pii-items")
+    release(proposed)  # no message stays in the shared folder
+    return out
 
 
 def redact(messages: DataFrame) -> DataFrame:
     """(msg_id, content): every message, items replaced by [NAME], [PHONE], [ID_NUMBER], [EMAIL] or [ADDRESS]."""
-    proposed = materialize(propose(messages), "pii-spans")
+    proposed = materialize(propose(messages, everything=True), "pii-spans")
     weights = train(proposed)
 
-    def clean(t: str | None) -> str | None:
-        found = spans(t) if t else []
-        if not found:
-            return t
-        scored = []
-        for k, a, b in found:
-            v = vote_string(t, k, a, b, found)
-            scored.append({"kind": k, "a": a, "b": b, "features": _features(t, k, a, b, v)})
-        for k, x, y, _ in reversed(choose(scored, weights)):
+    def clean(t: str | None, found: list[dict]) -> str | None:
+        for k, x, y, _ in reversed(choose(found, weights) if found else []):
             t = f"{t[:x]}[{k}]{t[y:]}"
         return t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([clean(t) for t in b.column(1).to_pylist()], pa.string())], names=["msg_id", "content"])
+            texts = [clean(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["msg_id", "content"])
 
-    return messages.select(F.col("msg_id").cast("bigint").alias("msg_id"), F.col("content").cast("string").alias("content")).mapInArrow(run, "msg_id bigint, content string")
+    out = materialize(proposed.mapInArrow(run, "msg_id bigint, content string"), "pii-redacted")
+    release(proposed)  # no personal data stays in the shared folder
+    return out

@@ -37,6 +37,20 @@ def test_items_found_and_replaced(spark):
     assert pii.find_pii(m.limit(0)).count() == 0 and pii.redact(m.limit(0)).count() == 0
 
 
+def test_no_message_stays_behind(spark, tmp_path, monkeypatch):
+    from lexweave import runtime
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: tmp_path.as_uri())
+    m = messages(spark)
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "lexweave").iterdir())
+    clean = pii.redact(m)
+    assert left() == ["pii-redacted"] and not any("154.2244.1234" in (r.content or "") for r in clean.collect())
+    pii.find_pii(m)
+    assert left() == ["pii-items", "pii-redacted"]
+    runtime.clear_written(spark)
+    assert left() == []
+
+
 def test_label_model_finds_reliabilities():
     import random
 
