@@ -34,7 +34,7 @@ GRAM = 5
 BINS = 2048
 #: The most iterations, and the change of a word's difficulty that no longer counts.
 ITERATIONS = 10
-TOLERANCE = 0.02
+TOLERANCE = 0.05
 #: Marks a gap of so many nodes in the coded edges.
 GAP = 0xFFFF
 #: A graded document counts so many times an ungraded one in the mean of a word.
