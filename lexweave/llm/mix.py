@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,21 +37,26 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pre-tokenizer of the public byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+#: As a total: all tokens of the targets' sources, each text counted once.
+AVAILABLE = "available"
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The tokenizer of a vocabulary file, built once per worker."""
+    """The tokenizer of a vocabulary file, built once per worker from the copy Spark sent there."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        sent = SparkFiles.get(os.path.basename(path))
+        with open(sent if os.path.exists(sent) else path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         _encoders[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
+    SparkSession.active().sparkContext.addFile(path)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(path)
         for s in batches:
@@ -140,12 +147,15 @@ def _blocked(df: DataFrame, sizes: dict[str, int], salt: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), number[F.col("source")]))
 
 
-def mix_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+def mix_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> list[dict]:
     """One row per target: what it has, its budget of tokens, whole repeats and the probability of one more."""
     have = {r["source"]: (r["n"], r["tokens"]) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     want = targets.groupBy(canonical_source(F.col("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap")).where("source is not null").orderBy("source").collect()
     full = [have[w["source"]][1] * w["cap"] / w["share"] for w in want if w["source"] in have and w["share"] > 0 and have[w["source"]][1] > 0]
-    total = total_tokens if total_tokens is not None else (min(full) if full else 0)
+    if total_tokens == AVAILABLE:
+        total = sum(have[w["source"]][1] for w in want if w["source"] in have and w["share"] > 0)
+    else:
+        total = total_tokens if total_tokens is not None else (min(full) if full else 0)
     out = []
     for w in want:
         n, tokens = have.get(w["source"], (0, 0))
@@ -155,7 +165,7 @@ def mix_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
     return out
 
 
-def _mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | None, path: str) -> tuple[DataFrame, list[dict]]:
+def _mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None, path: str) -> tuple[DataFrame, list[dict]]:
     sized = materialize(sized_documents(docs, targets, path), "mix-sizes")
     plan = mix_plan(sized, targets, total_tokens)
     spark = docs.sparkSession
@@ -174,12 +184,12 @@ def _mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | None, path:
     return out.select("doc_id", "source", "tokens", (F.col("whole") + F.col("pi").cast("int")).alias("copies")), plan
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = TOKENIZER) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens, copies): the documents of the mix and how often each is used."""
     return _mixed(docs, targets, total_tokens, path)[0].where("copies > 0")
 
 
-def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = TOKENIZER) -> DataFrame:
+def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, path: str = TOKENIZER) -> DataFrame:
     """Per target: target and actual share, documents and tokens used, the highest repeat, and whether the cap binds."""
     mixed, plan = _mixed(docs, targets, total_tokens, path)
     used = mixed.where("copies > 0").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").cast("bigint").alias("most_copies"))

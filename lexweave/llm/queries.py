@@ -75,6 +75,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
 
+def p7_available(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix as large as its sources: where a cap binds, a source falls short of its share."""
+    return mix.mix_report(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), mix.AVAILABLE)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")).select("doc_id", "reading_level")
 
@@ -86,7 +91,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.join(by, "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("difficulty"), 4).alias("mean_difficulty"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_classes, p3_found, p3_redacted, p4_found, p4_unified, p5_found, p5_flags, p6_found, p7_mix, p7_report, p8_found, p8_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_found, p2_classes, p3_found, p3_redacted, p4_found, p4_unified, p5_found, p5_flags, p6_found, p7_mix, p7_report, p7_available, p8_found, p8_profile)}
 
 # The other operators are no SQL: they are tested against brute force, round trips and held-out grades.
 ORACLE_SQL: dict[str, str] = {

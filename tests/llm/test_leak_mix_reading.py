@@ -137,6 +137,10 @@ def test_mix_caps_and_empty(spark):
     t = spark.createDataFrame([("mid", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
     rep = {r.source: r for r in mix.mix_report(d, t, total_tokens=10**9).collect()}
     assert all(r.cap_reached and r.used_tokens == r.available_tokens * r.max_repeats for r in rep.values())
+    rep = {r.source: r for r in mix.mix_report(d, t, mix.AVAILABLE).collect()}
+    total = sum(r.available_tokens for r in rep.values())
+    assert rep["small"].cap_reached and rep["small"].actual_share < 0.5 and rep["small"].used_tokens == 2 * rep["small"].available_tokens
+    assert abs(rep["mid"].used_tokens - total / 2) < 200
     assert mix.mix_sources(d.limit(0), t).count() == 0
     assert mix.mix_sources(d, t.limit(0)).count() == 0 and mix.mix_report(d, t.limit(0)).count() == 0
 
