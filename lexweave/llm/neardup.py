@@ -325,10 +325,11 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = gram_hashes(chars, GRAM)
     order = np.argsort(h, kind="stable")
     s = h[order]
-    s = s + numbered(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(s) else s
-    h[order] = s
-    order = np.argsort(h)
-    return chars, h, h[order], order
+    if (s[1:] == s[:-1]).any():
+        h[order] = s + numbered(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(h)
+        s = h[order]
+    return chars, h, s, order
 
 
 def _covered(places: np.ndarray, size: int) -> int:
@@ -380,6 +381,7 @@ def kept_share(one: tuple, other: tuple) -> float:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[int, tuple] = {}
+    held = 0
     for batch in batches:
         ids = [batch.column(i).to_pylist() for i in (0, 1)]
         texts = [batch.column(i) for i in (2, 3)]
@@ -389,9 +391,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in (0, 1):
                 n = ids[i][k]
                 if n not in known:
-                    if len(known) > 2000:
+                    if held > 2_000_000:  # characters, at some thirty bytes each
                         known.clear()
+                        held = 0
                     known[n] = _grams(texts[i][k].as_py().decode("utf-8"))
+                    held += len(known[n][0])
                 two.append(known[n])
             share[k] = kept_share(*two)
         good = share >= SAME
