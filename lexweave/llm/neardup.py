@@ -60,6 +60,8 @@ UNEQUAL, SURE, SPREAD = 39, 27, 49
 SAME = 0.65
 #: Shares of common 3-grams that decide without a look at the diagonals.
 SURELY = (0.40, 0.85)
+#: With less than this on shared diagonals single characters cannot make up for the rest.
+LEAST = 0.35
 FAN = 8
 MAX_GROUP = 2048
 PAIRS = 2_000_000
@@ -366,6 +368,8 @@ def kept_share(one: tuple, other: tuple) -> float:
     np.add.at(mark, x, 1)
     np.add.at(mark, x + GRAM, -1)
     mark = np.cumsum(mark)[:size] > 0
+    if mark.sum() < LEAST * size:
+        return float(mark.sum()) / size
     for d in np.unique(shift):
         if there[d] < 8:
             continue
@@ -387,17 +391,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [batch.column(i) for i in (2, 3)]
         share = np.zeros(batch.num_rows)
         for k in range(batch.num_rows):
-            two = []
+            both = [texts[i][k].as_py().decode("utf-8") for i in (0, 1)]
+            if min(map(len, both)) < SAME * max(map(len, both)):
+                continue
+            if held > 2_000_000:  # characters, at some thirty bytes each
+                known.clear()
+                held = 0
             for i in (0, 1):
-                n = ids[i][k]
-                if n not in known:
-                    if held > 2_000_000:  # characters, at some thirty bytes each
-                        known.clear()
-                        held = 0
-                    known[n] = _grams(texts[i][k].as_py().decode("utf-8"))
-                    held += len(known[n][0])
-                two.append(known[n])
-            share[k] = kept_share(*two)
+                if ids[i][k] not in known:
+                    known[ids[i][k]] = _grams(both[i])
+                    held += len(both[i])
+            share[k] = kept_share(known[ids[0][k]], known[ids[1][k]])
         good = share >= SAME
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good)), pa.array(share[good])], names=["a", "b", "share"])
 
