@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexweave.config import DEFAULT, Config
 from lexweave.functions import text as X
 from lexweave.operators import ingest as I
+from lexweave.runtime import materialize, release
 
 UPLOAD_SCHEMA = "upload_id bigint, source string, text string, size_bytes bigint, received_at timestamp_ntz"
 
@@ -29,11 +30,13 @@ def ingest_stream(spark: SparkSession, folder: str, chunk_path: str, registry_pa
         there = fs_path.getFileSystem(s._jsc.hadoopConfiguration()).exists(fs_path)
         known = s.read.option("basePath", registry_path).parquet(registry_path).where(F.col("batch") != number).select("md5") if there else s.createDataFrame([], "md5 string")
         d = batch.withColumn("cleaned", I.clean_text(F.col("text"), cfg)).withColumn("md5", X.md5_hex(F.col("cleaned")))
-        fresh = I.new_documents(d, known, "upload_id", ["received_at"])
-        units = I.article_units(fresh, "upload_id", "cleaned")
+        # Both are used by the two writes below, so they are made once.
+        fresh = materialize(I.new_documents(d, known, "upload_id", ["received_at"]), "stream-uploads")
+        units = materialize(I.article_units(fresh, "upload_id", "cleaned"), "stream-units")
         chunks = I.with_metadata(I.pack_chunks(units, "upload_id", cfg.chunk_size), units, fresh, "upload_id", create_time=create_time)
         chunks.write.mode("overwrite").parquet(f"{chunk_path}/batch={number}")
         fresh.join(units.select("upload_id").distinct(), "upload_id", "left_semi").select("md5").distinct().write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
+        release(units, fresh)
 
     stream = spark.readStream.schema(UPLOAD_SCHEMA).parquet(folder)
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
