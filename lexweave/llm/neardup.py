@@ -6,7 +6,7 @@ equal body are exact copies and are represented by their lowest id from then on.
 Method, a Gray-order hierarchical index over groups that share a masked bit pattern:
 1. Fingerprints. The pairs of neighbouring characters of a body, repeats counted, are drawn into SLOTS independent
    minima. All weigh the same, so two texts agree in a slot as often as their pairs do, however many other texts share
-   them. PLANES bits of the first 64 slots make the fingerprint, one word for each plane. As many words more come from
+   them. PLANES bits of the first 64 slots make the fingerprint, one word for each plane. SPREAD_PLANES words more come from
    64 minima over spread grams: two such pairs APART places from one another, which stock phrases do not share.
 2. Masks. WIDTH slots are a masked bit pattern; fingerprints that share one stand below the same top node. Below it
    they are sorted by Gray rank, every FAN neighbours are factored into a node that keeps the bits they all
@@ -52,10 +52,10 @@ SKETCHED, GRAM = 2, 3
 #: Slots, and of how many a mask is made; each table has slots of its own.
 SLOTS, WIDTH = 72, 3
 TABLES = SLOTS // WIDTH
-PLANES = 3
-APART = 24
+PLANES, SPREAD_PLANES = 3, 4
+APART = 12
 #: Most of the 64 slots of a candidate that may differ; most where the spread ones do not matter; most of the spread ones.
-UNEQUAL, SURE, SPREAD = 39, 27, 49
+UNEQUAL, SURE, SPREAD = 39, 27, 51
 #: Share of the longer body's characters that must remain in the other ("about seven tenths").
 SAME = 0.65
 #: Shares of common 3-grams that decide without a look at the diagonals.
@@ -109,9 +109,9 @@ def sketches(chars: np.ndarray, starts: np.ndarray, spread: bool = False) -> tup
     return slots, some
 
 
-def fingerprints(slots: np.ndarray) -> np.ndarray:
-    """(texts, PLANES): word p holds one bit of each of the first 64 slots."""
-    bits = np.concatenate([slots[:, :64] >> p & 1 for p in range(7, 7 + PLANES)], axis=1).astype(np.uint8)
+def fingerprints(slots: np.ndarray, planes: int = PLANES) -> np.ndarray:
+    """(texts, planes): word p holds one bit of each of the first 64 slots."""
+    bits = np.concatenate([slots[:, :64] >> p & 1 for p in range(7, 7 + planes)], axis=1).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 
@@ -150,8 +150,8 @@ def _near(a: np.ndarray, b: np.ndarray, bits: list[np.ndarray], shared: list[np.
 
 def likely(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of leaves differ in few slots, or in not too many of the spread ones."""
-    unlike = lambda first: np.bitwise_count(np.bitwise_or.reduce([f[a, p] ^ f[b, p] for p in range(first, first + PLANES)], axis=0))
-    return (unlike(0) <= SURE) | (unlike(PLANES) <= SPREAD) if len(a) else np.zeros(0, dtype=bool)
+    unlike = lambda words: np.bitwise_count(np.bitwise_or.reduce([f[a, p] ^ f[b, p] for p in words], axis=0))
+    return (unlike(range(PLANES)) <= SURE) | (unlike(range(PLANES, PLANES + SPREAD_PLANES)) <= SPREAD) if len(a) else np.zeros(0, dtype=bool)
 
 
 def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int = UNEQUAL, count: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def _masked(reps: DataFrame) -> DataFrame:
             for x, y in slices([len(s) + 500 for s in texts], 500_000):  # at most a thousand texts at once
                 points = code_points(texts[x:y])
                 slots, some = sketches(*points)
-                words = np.concatenate([fingerprints(slots), fingerprints(sketches(*points, spread=True)[0])], axis=1)
+                words = np.concatenate([fingerprints(slots), fingerprints(sketches(*points, spread=True)[0], SPREAD_PLANES)], axis=1)
                 slots, own = slots[some], ids[x:y][some]
                 if len(own):
                     fp = pa.array([w.tobytes() for w in words[some]], pa.binary())
@@ -264,7 +264,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = np.flatnonzero((np.bincount(group) > 1)[group])
         if not len(more):
             return
-        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, 2 * PLANES)
+        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, PLANES + SPREAD_PLANES)
         group, blk, ids = group[more], blk[more], ids[more]
         order = np.lexsort((gray_rank(f[:, 0]), blk, group))
         group, blk, ids, f = group[order], blk[order], ids[order], f[order]
@@ -409,11 +409,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, rep) of every text with letters, and the verified links (a, b, share) between representatives; written tables."""
     src = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null and length(t) > 0")
-    rows = materialize(_hashed(src), "dup-bodies")
+    rows = materialize(_hashed(src), "dup-bodies", compression="zstd")
     first = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     held = materialize(rows.select("h1", "h2", "id").join(first, ["h1", "h2"]).distinct(), "dup-held")
     # Only exact copies are taken out, so no body moves where they are few enough for Spark to send them to all.
-    reps = materialize(rows.join(held.where("id <> rep").select("h1", "h2", "id"), ["h1", "h2", "id"], "left_anti").select("id", "body"), "dup-representatives")
+    reps = materialize(rows.join(held.where("id <> rep").select("h1", "h2", "id"), ["h1", "h2", "id"], "left_anti").select("id", "body"), "dup-representatives", compression="zstd")
     members = materialize(held.select("id", "rep").distinct(), "dup-members")
     release(rows, held)
     found = candidate_pairs(reps)

@@ -78,7 +78,7 @@ def test_recall_by_kind_of_edit(kind, least):
     starts = lambda ts: np.concatenate([[0], np.cumsum([len(t) for t in ts])])
     x, y = (N.sketches(np.concatenate(ts), starts(ts))[0] for ts in (ones, twos))
     spread = [N.sketches(np.concatenate(ts), starts(ts), spread=True)[0] for ts in (ones, twos)]
-    f = np.concatenate([np.concatenate([N.fingerprints(s), N.fingerprints(p)], axis=1) for s, p in zip((x, y), spread)])
+    f = np.concatenate([np.concatenate([N.fingerprints(s), N.fingerprints(p, N.SPREAD_PLANES)], axis=1) for s, p in zip((x, y), spread)])
     ok = np.zeros(800, dtype=bool)
     ok[N._near(np.arange(800), np.arange(800, 1600), list(f.T[: N.PLANES]), None, N.UNEQUAL)] = True
     ok &= N.likely(f, np.arange(800), np.arange(800, 1600))
