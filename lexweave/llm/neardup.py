@@ -55,7 +55,7 @@ TABLES = SLOTS // WIDTH
 PLANES, SPREAD_PLANES = 3, 4
 APART = 12
 #: Most of the 64 slots of a candidate that may differ; most where the spread ones do not matter; most of the spread ones.
-UNEQUAL, SURE, SPREAD = 39, 27, 51
+UNEQUAL, SURE, SPREAD = 39, 27, 52
 #: Share of the longer body's characters that must remain in the other ("about seven tenths").
 SAME = 0.65
 #: Shares of common 3-grams that decide without a look at the diagonals.
