@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
+    # Sizes, limits, tags and wordings that stored chunks and histories were made with.
     chunk_size: int = 600
     chunk_overlap_articles: int = 0
     insert_batch: int = 10

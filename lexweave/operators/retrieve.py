@@ -209,7 +209,10 @@ def bm25_top(docs: DataFrame, query: str, k: int = DEFAULT.bm25_k, key: str = "d
 
 
 def squared_distance(vector: Column, query: list[float]) -> Column:
-    """Squared L2 distance to a fixed vector, unrolled so that it stays in generated code."""
+    """Squared L2 distance to a fixed vector, unrolled so that it stays in generated code, as long as that is not too long."""
+    if len(query) > 256:
+        other = F.array(*map(F.lit, map(float, query)))
+        return F.aggregate(F.zip_with(vector, other, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
     out = F.lit(0.0)
     for i, q in enumerate(query):
         d = vector[i].cast("double") - F.lit(float(q))

@@ -75,18 +75,23 @@ _written: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new name in the shared folder; what stands there is deleted by release(), clear_written() or with the application."""
+    """A new name in the shared folder; what is written there is deleted by release() or clear_written()."""
     path = f"{shared_dir(spark)}/lexweave/{label}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     _written.append(path)
     return path
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what stands at a path when the application ends, if nothing has deleted it before."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts lineage, survives lost executors, prunes columns."""
     path = scratch_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
+    delete_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexweave_path = path
     return out

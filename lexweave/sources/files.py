@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
-from lexweave.runtime import scratch_path
+from lexweave.runtime import delete_at_exit, scratch_path
 
 MESSAGE_JSON = "array<struct<type:string,data:struct<content:string,type:string>>>"
 META_JSON = "map<string,struct<pinned:boolean>>"
@@ -49,6 +49,7 @@ def read_session_meta(spark: SparkSession, path: str) -> DataFrame:
         seen = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "session-meta"))
         jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, seen.getFileSystem(conf), seen, False, conf)
         path = seen.toString()
+        delete_at_exit(spark, path)
     raw = spark.read.text(path, wholetext=True)
     entries = F.explode_outer(F.coalesce(F.from_json("value", META_JSON), F.create_map().cast(META_JSON))).alias("session_id", "m")
     return raw.select(entries).where("session_id is not null").select("session_id", F.coalesce("m.pinned", F.lit(False)).alias("pinned"))

@@ -110,3 +110,10 @@ def test_source_filter(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
     assert [r.doc_id for r in R.by_source(d, Config(source_filter="a")).collect()] == [1]
     assert R.by_source(d).count() == 3
+
+
+def test_vectors_of_many_dimensions(spark):
+    v = np.random.default_rng(4).normal(size=(20, 300))
+    d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id int, embedding array<double>")
+    got = [r.vec_id for r in R.vector_top(d, [float(x) for x in v[2]], 5).collect()]
+    assert got == list(np.argsort(((v - v[2]) ** 2).sum(1))[:5])

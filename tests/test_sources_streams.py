@@ -102,3 +102,12 @@ def test_written_tables_are_deleted(spark, tmp_path, monkeypatch):
     assert two.count() == 3
     runtime.clear_written(spark)
     assert list((tmp_path / "lexweave").iterdir()) == []
+
+
+def test_written_tables_go_with_the_application(spark, tmp_path, monkeypatch):
+    from lexweave import runtime
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: tmp_path.as_uri())
+    d = runtime.materialize(spark.range(3), "one")
+    p = spark._jvm.org.apache.hadoop.fs.Path(d._lexweave_path)
+    assert p.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(p)
