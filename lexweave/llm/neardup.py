@@ -52,10 +52,11 @@ SKETCHED, GRAM = 2, 3
 #: Slots, and of how many a mask is made; each table has slots of its own.
 SLOTS, WIDTH = 72, 3
 TABLES = SLOTS // WIDTH
-PLANES, SPREAD_PLANES = 3, 4
+PLANES, SPREAD_PLANES = 3, 6
 APART = 12
 #: Most of the 64 slots of a candidate that may differ; most where the spread ones do not matter; most of the spread ones.
-UNEQUAL, SURE, SPREAD = 39, 27, 52
+#: With six planes one spread slot in 64 agrees by chance, so texts that share none of them are hardly ever candidates.
+UNEQUAL, SURE, SPREAD = 39, 27, 55
 #: Share of the longer body's characters that must remain in the other ("about seven tenths").
 SAME = 0.65
 #: Shares of common 3-grams that decide without a look at the diagonals.
@@ -63,8 +64,10 @@ SURELY = (0.40, 0.85)
 #: With less than this on shared diagonals single characters cannot make up for the rest.
 LEAST = 0.35
 FAN = 8
-MAX_GROUP = 2048
+MAX_GROUP = 16384
 PAIRS = 2_000_000
+#: So many pairs of lowest nodes are compared at once; what they need stays in the processor's cache.
+LEAVES = 1024
 SAMPLE = 64
 COPIES = 1000
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, max(64, SLOTS)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -148,10 +151,36 @@ def _near(a: np.ndarray, b: np.ndarray, bits: list[np.ndarray], shared: list[np.
     return at
 
 
+def _leaves(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves below pairs of lowest nodes, FAN leaves against FAN others in one square without places for each pair."""
+    at = np.minimum(np.arange(FAN)[:, None], (hi - lo - 1)[None, :]) + lo  # a node with fewer leaves repeats its last
+    leaves = [w[at] for w in bits]
+    unlike, more = np.empty((2, FAN, FAN, LEAVES), dtype=np.uint64)
+    bit = np.empty((FAN, FAN, LEAVES), dtype=np.uint8)
+    n, found = len(a), []
+    a, b = (np.r_[v, np.zeros(-n % LEAVES, dtype=v.dtype)] for v in (a, b))
+    for k in range(0, n, LEAVES):
+        x, y = a[k : k + LEAVES], b[k : k + LEAVES]
+        for p, w in enumerate(leaves):
+            np.bitwise_xor(w.take(x, axis=1)[:, None, :], w.take(y, axis=1)[None, :, :], out=more if p else unlike)
+            if p:
+                np.bitwise_or(unlike, more, out=unlike)
+        i, z = np.divmod(np.flatnonzero(np.bitwise_count(unlike, out=bit) <= most), LEAVES)
+        x, y = x[z], y[z]
+        ca, cb = lo[x] + i // FAN, lo[y] + i % FAN
+        real = (k + z < n) & (ca < hi[x]) & (cb < hi[y]) & ((x != y) | (ca < cb))
+        found.append((ca[real], cb[real]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def likely(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of leaves differ in few slots, or in not too many of the spread ones."""
-    unlike = lambda words: np.bitwise_count(np.bitwise_or.reduce([f[a, p] ^ f[b, p] for p in words], axis=0))
-    return (unlike(range(PLANES)) <= SURE) | (unlike(range(PLANES, PLANES + SPREAD_PLANES)) <= SPREAD) if len(a) else np.zeros(0, dtype=bool)
+    words = [np.ascontiguousarray(w) for w in f.T]
+    good = np.zeros(len(a), dtype=bool)
+    if len(a):
+        good[_near(a, b, words[:PLANES], None, SURE)] = True
+        good[_near(a, b, words[PLANES:], None, SPREAD)] = True
+    return good
 
 
 def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int = UNEQUAL, count: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +223,20 @@ def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int =
     for level in range(len(levels) - 1, 0, -1):
         _, _, _, lo, hi = levels[level]
         _, bits, shared, _, _ = levels[level - 1]
+        if not len(a):
+            return none, none
+        if level == 1:
+            if count is not None:
+                size, other = hi[a] - lo[a], hi[b] - lo[b]
+                count[0] = int(np.where(a == b, size * (size - 1) // 2, size * other).sum())
+            return _leaves(a, b, lo, hi, bits, most)
         found = []
         for i, j in slices(((hi[a] - lo[a]) * (hi[b] - lo[b])).tolist(), PAIRS):
             # Children of the first node, then for each those of the second; below one and the same node each pair once.
             size = hi[a[i:j]] - lo[a[i:j]]
             at = np.repeat(np.arange(i, j), size)
             ca = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + lo[a[at]]
-            start = np.where(a[at] == b[at], ca + (level == 1), lo[b[at]])
+            start = np.where(a[at] == b[at], ca, lo[b[at]])
             size = hi[b[at]] - start
             cb = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
             ca = np.repeat(ca, size)
@@ -208,8 +244,6 @@ def group_pairs(group: np.ndarray, side: np.ndarray, f: np.ndarray, most: int =
                 count[level - 1] = count.get(level - 1, 0) + len(ca)
             near = _near(ca, cb, bits, shared, most)
             found.append((ca[near], cb[near]))
-        if not found:
-            return none, none
         a, b = (np.concatenate(x) for x in zip(*found))
     return a, b
 
@@ -255,16 +289,16 @@ def _masked(reps: DataFrame) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group of a partition sorted by group; groups are held back until complete."""
+    """Pairs of each group (grp, blk, id, fp) of a partition sorted by group; groups are held back until complete."""
     rest: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        mask, lo, hi, blk, ids = (t.column(i).to_numpy() for i in range(5))
-        group = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))])
+        grp, blk, ids = (t.column(i).to_numpy() for i in range(3))
+        group = np.concatenate([[0], np.cumsum(grp[1:] != grp[:-1])])
         more = np.flatnonzero((np.bincount(group) > 1)[group])
         if not len(more):
             return
-        f = np.frombuffer(b"".join(t.column(5).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, PLANES + SPREAD_PLANES)
+        f = np.frombuffer(b"".join(t.column(3).take(pa.array(more)).to_pylist()), dtype=np.uint64).reshape(-1, PLANES + SPREAD_PLANES)
         group, blk, ids = group[more], blk[more], ids[more]
         order = np.lexsort((gray_rank(f[:, 0]), blk, group))
         group, blk, ids, f = group[order], blk[order], ids[order], f[order]
@@ -286,8 +320,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 50_000:
             rest = t
             continue
-        m = np.stack([t.column(i).to_numpy() for i in range(3)])
-        change = np.flatnonzero((m[:, 1:] != m[:, :-1]).any(axis=0))
+        m = t.column(0).to_numpy()
+        change = np.flatnonzero(m[1:] != m[:-1])
         if not len(change):
             rest = t
             continue
@@ -310,12 +344,13 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     masked = _masked(reps)
     sample = _masked(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
     hot = materialize(sample.groupBy("mask").count().where(F.col("count") >= MAX_GROUP // SAMPLE).select("mask", F.ceil(F.col("count") * SAMPLE / MAX_GROUP * 2).cast("int").alias("blocks")), "dup-hot")
-    zero = F.lit(0)
     if hot.isEmpty():
-        rows = masked.withColumns({"lo": zero, "hi": zero, "blk": zero})
+        rows = masked.select(F.col("mask").alias("grp"), F.lit(0).alias("blk"), "id", "fp")
     else:
-        rows = _blocks_met(masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
-    rows = rows.select("mask", "lo", "hi", "blk", "id", "fp").repartition("mask", "lo", "hi").sortWithinPartitions("mask", "lo", "hi")
+        met = _blocks_met(masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
+        rows = met.select(F.when(F.col("hi") == 0, F.col("mask")).otherwise(F.xxhash64("mask", "lo", "hi")).alias("grp"), "blk", "id", "fp")
+    # One key of one number: Spark sorts it without comparing rows. Groups of equal hash would only be compared together.
+    rows = rows.repartition("grp").sortWithinPartitions("grp")
     out = materialize(rows.mapInArrow(_joined, "a bigint, b bigint").distinct(), "dup-candidates")
     release(hot)
     return out

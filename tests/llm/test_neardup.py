@@ -170,3 +170,27 @@ def test_gram_hashes_are_local():
             for j in range(len(h)):
                 assert (h[i] == h[j]) == (x[i : i + n] == x[j : j + n]).all()
     assert len(gram_hashes(x[:3], 4)) == 0
+
+
+def test_agreement_by_chance_makes_no_candidate():
+    """Of unrelated fingerprints, whose slots agree by chance only, hardly any pair goes on to the comparison of texts."""
+    rng = np.random.default_rng(11)
+    f = rng.integers(0, 1 << 64, (1000, N.PLANES + N.SPREAD_PLANES), dtype=np.uint64)
+    a, b = np.triu_indices(1000, 1)
+    assert N.likely(f, a, b).sum() <= 5
+
+
+def test_hot_groups_travel_once():
+    """A group of some thousand rows is compared whole in one task, equal to all pairs; none of its rows is sent twice."""
+    assert N.MAX_GROUP >= 10_000
+    rng = np.random.default_rng(12)
+    slots = rng.integers(0, 1 << 16, (3001, N.SLOTS))
+    slots[:, :30] = np.where(rng.random((3001, 30)) < 0.7, slots[0, :30], slots[:, :30])
+    f = N.fingerprints(slots.astype(np.uint16))
+    f = f[np.argsort(N.gray_rank(f[:, 0]), kind="stable")]
+    zero = np.zeros(len(f), dtype=np.int64)
+    a, b = N.group_pairs(zero, zero, f)
+    want = 0
+    for i in range(len(f) - 1):
+        want += int((np.bitwise_count(np.bitwise_or.reduce(f[i + 1 :] ^ f[i], axis=1)) <= N.UNEQUAL).sum())
+    assert want == len(a) == len(set(zip(a.tolist(), b.tolist()))) and (a < b).all() and want > 10_000
