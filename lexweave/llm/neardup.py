@@ -69,6 +69,8 @@ PAIRS = 2_000_000
 #: So many pairs of lowest nodes are compared at once; what they need stays in the processor's cache.
 LEAVES = 1024
 SAMPLE = 64
+#: Bits of a place in a text beside a hash.
+PLACE = 26
 COPIES = 1000
 FACTORS = np.random.default_rng(7).integers(0, 1 << 31, max(64, SLOTS)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 LABEL = re.compile(r"^\s*第[^\s。，；：]{1,16}条[\s　]*")
@@ -356,25 +358,38 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return out
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Characters, the gram at each place (a repeated one numbered), the sorted grams and their places."""
-    chars, _ = code_points([text])
+def _gram_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its characters, the gram at each place and which occurrence of it that is, the sorted grams and their places."""
+    chars, starts = code_points(texts)
     h = gram_hashes(chars, GRAM)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    if (s[1:] == s[:-1]).any():
-        h[order] = s + numbered(s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(h)
-        s = h[order]
-    return chars, h, s, order
-
-
-def _covered(places: np.ndarray, size: int) -> int:
-    """How many of size characters the grams that begin at the places cover."""
-    mark = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(mark, places, 1)
-    np.add.at(mark, places + GRAM, -1)
-    return int((np.cumsum(mark)[:size] > 0).sum())
+    owner, whole = gram_owner(starts, GRAM, len(h))
+    at = np.flatnonzero(whole)
+    begin = np.concatenate([[0], np.cumsum(np.maximum(np.diff(starts) - GRAM + 1, 0))])
+    # Hash and place in one number: sorting it is stable.
+    h = h[at] >> np.uint64(PLACE)
+    key = h << np.uint64(PLACE) | (at - starts[owner[at]]).astype(np.uint64)
+    for i, j in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        key[i:j].sort()
+    s, order = key >> np.uint64(PLACE), (key & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    new[begin[:-1][np.diff(begin) > 0]] = True
+    first = np.flatnonzero(new)
+    occurrence = np.empty(len(s), dtype=np.int64)
+    occurrence[np.repeat(begin[:-1], np.diff(begin)) + order] = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+    return [(chars[a:b], h[i:j], occurrence[i:j], s[i:j], order[i:j]) for a, b, i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), begin[:-1].tolist(), begin[1:].tolist())]
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _gram_sets([text])[0]
+
+
+def _covered(places: np.ndarray, size: int) -> np.ndarray:
+    """Which of size characters the grams that begin at the places cover."""
+    mark = np.zeros(size, dtype=bool)
+    for k in range(GRAM):
+        mark[places + k] = True
+    return mark
 
 
 def kept_share(one: tuple, other: tuple) -> float:
@@ -386,23 +401,21 @@ def kept_share(one: tuple, other: tuple) -> float:
     if len(one[0]) < len(other[0]):
         one, other = other, one
     size = len(one[0])
-    if not len(other[2]) or len(other[0]) < SAME * size:
+    if not len(other[3]) or len(other[0]) < SAME * size:
         return 0.0
-    at = np.minimum(np.searchsorted(other[2], one[1]), len(other[2]) - 1)
-    x = np.flatnonzero(other[2][at] == one[1])
-    share = _covered(x, size) / size
+    # The second occurrence of a gram here meets the second one there.
+    at = np.minimum(np.searchsorted(other[3], one[1]) + one[2], len(other[3]) - 1)
+    x = np.flatnonzero((other[3][at] == one[1]) & (other[2][other[4][at]] == one[2]))
+    share = np.count_nonzero(_covered(x, size)) / size
     if not SURELY[0] <= share < SURELY[1]:
         return share
-    y = other[3][at[x]]
+    y = other[4][at[x]]
     shift = x - y + len(other[0])
     there = np.bincount(shift, minlength=size + len(other[0]) + 1)
     near = np.convolve(there, np.ones(17, dtype=np.int64), "same") >= 24
     good = near[shift]
     x, shift = x[good], shift[good]
-    mark = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(mark, x, 1)
-    np.add.at(mark, x + GRAM, -1)
-    mark = np.cumsum(mark)[:size] > 0
+    mark = _covered(x, size)
     if mark.sum() < LEAST * size:
         return float(mark.sum()) / size
     for d in np.unique(shift):
@@ -419,24 +432,16 @@ def kept_share(one: tuple, other: tuple) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, tuple] = {}
-    held = 0
     for batch in batches:
         ids = [batch.column(i).to_pylist() for i in (0, 1)]
-        texts = [batch.column(i) for i in (2, 3)]
+        texts = [_decoded(batch.column(i)) for i in (2, 3)]
         share = np.zeros(batch.num_rows)
-        for k in range(batch.num_rows):
-            both = [texts[i][k].as_py().decode("utf-8") for i in (0, 1)]
-            if min(map(len, both)) < SAME * max(map(len, both)):
-                continue
-            if held > 2_000_000:  # characters, at some thirty bytes each
-                known.clear()
-                held = 0
-            for i in (0, 1):
-                if ids[i][k] not in known:
-                    known[ids[i][k]] = _grams(both[i])
-                    held += len(both[i])
-            share[k] = kept_share(known[ids[0][k]], known[ids[1][k]])
+        fits = [k for k, (x, y) in enumerate(zip(*texts)) if min(len(x), len(y)) >= SAME * max(len(x), len(y))]
+        for i, j in slices([len(texts[0][k]) + len(texts[1][k]) for k in fits], 300_000):
+            known = {ids[side][k]: texts[side][k] for k in fits[i:j] for side in (0, 1)}
+            known = dict(zip(known, _gram_sets(list(known.values()))))
+            for k in fits[i:j]:
+                share[k] = kept_share(known[ids[0][k]], known[ids[1][k]])
         good = share >= SAME
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good)), pa.array(share[good])], names=["a", "b", "share"])
 

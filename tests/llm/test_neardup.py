@@ -194,3 +194,14 @@ def test_hot_groups_travel_once():
     for i in range(len(f) - 1):
         want += int((np.bitwise_count(np.bitwise_or.reduce(f[i + 1 :] ^ f[i], axis=1)) <= N.UNEQUAL).sum())
     assert want == len(a) == len(set(zip(a.tolist(), b.tolist()))) and (a < b).all() and want > 10_000
+
+
+def test_grams_of_a_batch_equal_those_of_single_texts():
+    """Texts with repeats, too short ones and empty ones are prepared together; each occurrence keeps its number and place."""
+    texts = ["甲乙丙甲乙丙甲乙丙", "", "甲", "甲乙", "甲乙丙", "丁" * 7]
+    got = N._gram_sets(texts)
+    for t, g in zip(texts, got):
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(g, N._grams(t)))
+        assert [t[p : p + 3] for p in g[4]] == sorted((t[i : i + 3] for i in range(len(t) - 2)), key=lambda x: g[1][t.index(x)])
+    assert got[0][2].tolist() == [0, 0, 0, 1, 1, 1, 2] and got[5][2].tolist() == [0, 1, 2, 3, 4]
+    assert N.kept_share(got[0], got[0]) == 1.0 and N.kept_share(got[4], got[0]) == 0.0
