@@ -134,3 +134,18 @@ def test_asked_language(spark):
         rows += [(i, "s", i, "human", "请用英文回答：" + QUESTION), (i + 1, "s", i + 1, "ai", en if i % 40 else GOOD)]
     got = {r.msg_id for r in P.found_defects(spark.createDataFrame(rows, "msg_id bigint, session_id string, pos bigint, type string, content string")).collect()}
     assert got == {i + 1 for i in range(0, 400, 40)}
+
+
+def test_every_answer_is_planted_and_counts_equal_the_rows(spark):
+    from collections import Counter
+
+    m, _ = chat(spark, 40)
+    p = P.answer_pairs(m).cache()
+    shapes = P.finished_shapes(p)
+    many = p.where("question is not null and length(answer) > 60 and length(question) > 8").count()
+    rows = Counter((r.planted, *(r[k] for k in P.PRECEDENCE)) for r in P.voted(P.planted_defects(p), shapes, ("planted",)).collect())
+    assert many > 1000 and sum(rows.values()) == 6 * many
+    counted = Counter()
+    for r in P.planted_votes(p, shapes).collect():
+        counted[(r.planted, *(r[k] for k in P.PRECEDENCE))] += r.cases
+    assert counted == Counter({k: n for k, n in rows.items() if k[0]})
