@@ -11,7 +11,7 @@ Sentence shapes (numbers folded) are counted over all answers first, so what is
 
 Scale: questions meet answers on (session_id, pos), so one huge session spreads over all tasks; messages stored twice
 are merged on the question side. Planted answers are counted by votes where they are made and meet the shapes as
-counts. Vote patterns, at most 3 ** 4 per defect, are all that reaches the driver.
+counts; what the votes need of a fixed text is made once. Vote patterns, at most 3 ** 4 per defect, are all that reaches the driver.
 
 An answer without content is empty. An answer without question cannot be a copy nor in the wrong language. Rows whose
 type is null are ignored; a null session or position has no question.
@@ -165,8 +165,8 @@ _FOREIGN = "建议您先整理合同和付款记录，再向主管部门提出
 _PLANTABLE = "question is not null and length(answer) > 60 and length(question) > 8"
 
 
-def planted_defects(pairs: DataFrame, sound: bool = True) -> DataFrame:
-    """(msg_id, planted, answer, question): every plantable answer with each defect in turn, and as it is (planted '') if sound.
+def planted_defects(pairs: DataFrame, only: tuple[str, ...] = ("", *PRECEDENCE)) -> DataFrame:
+    """(msg_id, planted, answer, question): every plantable answer with each defect in turn, and as it is (planted '').
 
     Columns about the question alone go along.
     """
@@ -179,7 +179,7 @@ def planted_defects(pairs: DataFrame, sound: bool = True) -> DataFrame:
         "copy": F.when(F.pmod(F.xxhash64("msg_id"), F.lit(2)) == 0, F.col("question")).otherwise(F.concat(F.lit("问："), F.col("question"))),
         "truncated": F.substring("answer", F.lit(1), (F.length("answer") * 0.6).cast("int")),
     }
-    many = F.explode(F.array(*[F.struct(F.lit(k).alias("planted"), c.alias("answer")) for k, c in kinds.items() if k or sound]))
+    many = F.explode(F.array(*[F.struct(F.lit(k).alias("planted"), c.alias("answer")) for k, c in kinds.items() if k in only]))
     others = [c for c in pairs.columns if c not in ("msg_id", "answer", "question")]
     return pairs.where(_PLANTABLE).select("msg_id", "question", *others, many.alias("x")).select("msg_id", "x.planted", "x.answer", "question", *others)
 
@@ -208,15 +208,14 @@ def question_columns(pairs: DataFrame) -> DataFrame:
     return base.select(*pairs.columns, "_fq", "_want", "_ws")
 
 
-def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
-    """(the columns to keep, votes of the defects that need no sentence shapes, the shape an answer ends in, what else says truncated).
-
-    An answer that ends well needs no shape and gets spread instead.
-    """
-    a, q = F.coalesce("answer", F.lit("")), F.col("question")
+def answer_columns(pairs: DataFrame) -> DataFrame:
+    """The pairs with what the votes need of the answer alone."""
+    if "_fa" in pairs.columns:
+        return pairs
+    a = F.coalesce("answer", F.lit(""))
     bare = _strip(a, _INVISIBLE)
     core = _strip(_strip(bare, _MARKUP), "[^\\p{L}\\p{N}]")
-    base = question_columns(pairs).withColumns({"_bare": bare, "_core": core, "_fa": _folded(a)})
+    base = pairs.withColumns({"_bare": bare, "_core": core, "_fa": _folded(a)})
     quoted = "“[^”]*”|\"[^\"]*\"|「[^」]*」|《[^》]*》|（[^）]*）|\\([^)]*\\)|```.*?```"
     own = F.when(F.regexp_like(a, F.lit("[“\"「《（(`]")), F.regexp_replace(a, f"(?s){quoted}", "")).otherwise(a)
     own = F.when(F.length(own) * 4 < F.length(a), a).otherwise(own)
@@ -230,19 +229,6 @@ def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
     base = base.withColumns({f"_n_{k}": F.when(F.col("_as") == "latin", v) for k, v in _small_words(F.col("_own")).items()})
     mine = _latin_language({k: F.col(f"_n_{k}") for k in SMALL})
     base = base.withColumn("_got", F.when(F.col("_as") == "latin", F.coalesce(mine, F.lit("latin"))).otherwise(F.col("_as")))
-    total = sum((F.col(f"_s_{k}") for k in sa), F.lit(0.0))
-    of_want = F.lit(0.0)
-    for k in sa:
-        of_want = F.when(F.col("_ws") == k, F.col(f"_s_{k}")).otherwise(of_want)
-    base = base.withColumn("_share", F.when(total > 0, of_want / total))
-    la, lq = F.length("_fa"), F.length("_fq")
-    limit = F.greatest(F.lit(40), (lq * 0.2).cast("int"))  # further apart than this is no copy, whatever the length
-
-    def apart(two: Column) -> Column:
-        short = F.levenshtein(F.col("_fa"), two, 40)  # ends early, with -1
-        found = F.when(lq <= 200, F.nullif(short, F.lit(-1))).otherwise(F.levenshtein(F.col("_fa"), two))
-        return F.when(F.abs(la - F.length(two)) <= limit, found)  # texts of other lengths are further apart anyway
-
     trimmed = F.rtrim(a, F.lit(" \t\n\x0b\f\r\u3000"))
     end = F.right(F.rtrim(a, F.lit(" \t\n\x0b\f\r\u3000*_`\ufeff\u200b")), F.lit(1))
     opened = lambda o, c: F.length(F.regexp_replace(a, f"[{c}]+", "")) > F.length(F.regexp_replace(a, f"[{o}]+", ""))
@@ -251,10 +237,6 @@ def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
             "_refusal": F.regexp_like(a, F.lit(REFUSES)),
             "_trimmed": trimmed,
             "_no_end": ~end.isin(*"。！？!?.～~)）】》」”\"|>") & ~F.regexp_like(end, F.lit("\\p{So}")),
-            "_lev": F.least(apart(F.col("_fq")), apart(F.concat("_fq", "_fq"))),
-            "_same_start": F.contains("_fa", F.substring("_fq", 1, 4)),
-            "_holds": F.contains("_fa", "_fq"),
-            "_left": F.length(F.replace("_fa", "_fq", F.lit(""))),
         }
     )
     last = F.right("_trimmed", F.lit(40))  # what ends a text is looked for at its end only
@@ -268,7 +250,43 @@ def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
             "_hangs": F.regexp_like(last, F.lit("(?:但是|而且|以及|因为|如果|其次|另外|并且|或者|例如|比如|包括|，如|\\b(?i:and|but|or|the|of|to|is|with|for|a|at))$")),
             "_marker": F.regexp_like(last, F.lit("(?:^|\\n)[ \\t]*(?:\\d+[.、)]|[-*•|]|\\*{2,3}|#{1,6}(?:[ \\t]*\\d+[.、)]?)?)$")),
             "_open": F.col("_unfinished") & (opened("（(", "）)") | opened("《", "》") | opened("“", "”") | (F.regexp_count(a, F.lit("\\*\\*")) % 2 == 1) | (F.regexp_count(a, F.lit("```")) % 2 == 1)),
-            "shape_hash": F.when(F.col("_no_end") & (F.col("_tail") != ""), F.xxhash64(sentence_shape(F.col("_tail")))).otherwise(spread),
+            "_shape": F.when(F.col("_no_end") & (F.col("_tail") != ""), F.xxhash64(sentence_shape(F.col("_tail")))),
+            "_helps": F.regexp_like(a, F.lit(HELPS)),
+            "_polite": F.when(F.col("_refusal"), F.regexp_like(a, F.lit(POLITE))),
+            "_word": F.regexp_like(F.trim(F.regexp_replace(F.col("_bare"), "[\\[\\]{}<>]", "")), F.lit(f"^(?:{EMPTY_WORDS})$")),
+        }
+    )
+    return base.select(*pairs.columns, "_bare", "_core", "_fa", *[f"_s_{k}" for k in sa], "_as", "_got", "_refusal", "_no_end", "_dots", "_rest", "_hangs", "_marker", "_open", "_shape", "_helps", "_polite", "_word")
+
+
+def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
+    """(the columns to keep, votes of the defects that need no sentence shapes, the shape an answer ends in, what else says truncated).
+
+    An answer that ends well needs no shape and gets spread instead.
+    """
+    q = F.col("question")
+    base = answer_columns(question_columns(pairs))
+    sa = {k: F.col(k) for k in base.columns if k.startswith("_s_")}
+    total = sum(sa.values(), F.lit(0.0))
+    of_want = F.lit(0.0)
+    for k in sa:
+        of_want = F.when(F.col("_ws") == k.removeprefix("_s_"), sa[k]).otherwise(of_want)
+    base = base.withColumn("_share", F.when(total > 0, of_want / total))
+    la, lq = F.length("_fa"), F.length("_fq")
+    limit = F.greatest(F.lit(40), (lq * 0.2).cast("int"))  # further apart than this is no copy, whatever the length
+
+    def apart(two: Column) -> Column:
+        short = F.levenshtein(F.col("_fa"), two, 40)  # ends early, with -1
+        found = F.when(lq <= 200, F.nullif(short, F.lit(-1))).otherwise(F.levenshtein(F.col("_fa"), two))
+        return F.when(F.abs(la - F.length(two)) <= limit, found)  # texts of other lengths are further apart anyway
+
+    base = base.withColumns(
+        {
+            "_lev": F.least(apart(F.col("_fq")), apart(F.concat("_fq", "_fq"))),
+            "_same_start": F.contains("_fa", F.substring("_fq", 1, 4)),
+            "_holds": F.contains("_fa", "_fq"),
+            "_left": F.length(F.replace("_fa", "_fq", F.lit(""))),
+            "shape_hash": F.coalesce("_shape", spread),
         }
     )
     core_c = F.col("_core")
@@ -286,7 +304,7 @@ def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
         "empty": [
             _vote((F.length(F.col("_bare")) == 0, 1), (real, -1)),
             _vote((F.length(core_c) == 0, 1), (real, -1)),
-            _vote((F.regexp_like(F.trim(F.regexp_replace(F.col("_bare"), "[\\[\\]{}<>]", "")), F.lit(f"^(?:{EMPTY_WORDS})$")) | (F.length(core_c) == 0), 1), (F.length(core_c) > 3, -1)),
+            _vote((F.col("_word") | (F.length(core_c) == 0), 1), (F.length(core_c) > 3, -1)),
         ],
         "copy": [
             _vote((alone, -1), (real & holds & (left == 0), 1), (la > lq * 2 + 20, -1)),
@@ -296,8 +314,8 @@ def _cast(pairs: DataFrame, keep: tuple[str, ...], spread: Column) -> DataFrame:
         "refusal": [
             _vote((refusal, 1), (F.length(core_c) > 0, -1)),
             _vote((refusal & (rest <= 4), 1), (rest > 20, -1)),
-            _vote((F.regexp_like(a, F.lit(HELPS)) & ~(refusal & (rest <= 12)), -1), (refusal & (F.length(core_c) < 160), 1)),
-            _vote((refusal & F.regexp_like(a, F.lit(POLITE)), 1), (F.length(core_c) > 150, -1)),
+            _vote((F.col("_helps") & ~(refusal & (rest <= 12)), -1), (refusal & (F.length(core_c) < 160), 1)),
+            _vote((refusal & F.col("_polite"), 1), (F.length(core_c) > 150, -1)),
         ],
         "language": [
             _vote((F.col("_as").isNull() | F.col("_ws").isNull() | (F.length(core_c) <= 6), -1), (F.col("_as") != F.col("_ws"), 1), (foreign, 1), (F.col("_as") == F.col("_ws"), -1)),
@@ -330,7 +348,13 @@ def voted(pairs: DataFrame, shapes: DataFrame, keep: tuple[str, ...] = ("msg_id"
 
 def planted_votes(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
     """(planted, one string of votes per defect, cases): the votes on all planted defects, counted before they meet the shapes."""
-    rows = _cast(planted_defects(question_columns(pairs), sound=False), ("planted",), F.lit(None).cast("bigint"))
+    asked = question_columns(pairs)
+    texts = [(t,) for t in (*[t for ts in _PLANTED.values() for t in ts], _FOREIGN)]
+    fixed = answer_columns(pairs.sparkSession.createDataFrame(texts, "answer string"))  # once for each text
+    rows = None
+    for some in (planted_defects(asked, tuple(_PLANTED)).join(F.broadcast(fixed), "answer"), planted_defects(asked, ("copy", "truncated"))):
+        votes = _cast(some, ("planted",), F.lit(None).cast("bigint"))
+        rows = votes if rows is None else rows.unionByName(votes)
     return _settled(rows.groupBy(*rows.columns).agg(F.count("*").alias("cases")), shapes, ("planted", "cases"))
 
 
