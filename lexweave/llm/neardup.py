@@ -22,7 +22,8 @@ replaced differ in half of all slots). Nodes of different groups of copies are d
 fingerprints share too few bits for that and are dropped at the leaves.
 
 Scale: bodies are shuffled once to merge exact copies, ids, masks and fingerprints TABLES times, and the bodies of
-candidates once a side for verification. Unrelated texts meet by their stock phrases; how many do grows with the square of
+candidates once a side for verification. Masks are joined in PASSES, so that only a part of those copies of the fingerprints
+is on disk at a time; all tables have their turn. Unrelated texts meet by their stock phrases; how many do grows with the square of
 the rows that share them, and WIDTH sets how fast. Top nodes of more than MAX_GROUP rows (found by a sample of ids, only
 to plan) are split into blocks that meet pairwise, and so are large groups of exact copies; no row is dropped and none
 waits for a hot group. Classes come from connected components over the links between representatives, with written
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ SKETCHED, GRAM = 2, 3
 #: Slots, and of how many a mask is made; each table has slots of its own.
 SLOTS, WIDTH = 72, 3
 TABLES = SLOTS // WIDTH
+#: So many times in turn a part of the tables is shuffled and joined.
+PASSES = 3
 PLANES, SPREAD_PLANES = 3, 6
 APART = 12
 #: Most of the 64 slots of a candidate that may differ; most where the spread ones do not matter; most of the spread ones.
@@ -271,8 +275,8 @@ def _decoded(column: pa.Array) -> list[str]:
     return [b.decode("utf-8") for b in column.to_pylist()]
 
 
-def _masked(reps: DataFrame) -> DataFrame:
-    """(mask, id, fp): TABLES rows for every body with a gram."""
+def _sketched(reps: DataFrame) -> DataFrame:
+    """(id, masks, fp) of every body with a gram; masks has one for each of the TABLES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +287,15 @@ def _masked(reps: DataFrame) -> DataFrame:
                 words = np.concatenate([fingerprints(slots), fingerprints(sketches(*points, spread=True)[0], SPREAD_PLANES)], axis=1)
                 slots, own = slots[some], ids[x:y][some]
                 if len(own):
-                    fp = pa.array([w.tobytes() for w in words[some]], pa.binary())
-                    row = np.repeat(np.arange(len(own)), TABLES)
-                    yield pa.RecordBatch.from_arrays([pa.array(masks(slots).reshape(-1)), pa.array(own[row]), fp.take(pa.array(row))], names=["mask", "id", "fp"])
+                    each = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * TABLES), pa.array(masks(slots).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), each, pa.array([w.tobytes() for w in words[some]], pa.binary())], names=["id", "masks", "fp"])
 
-    return reps.select("id", "body").mapInArrow(run, "mask bigint, id bigint, fp binary")
+    return reps.select("id", "body").mapInArrow(run, "id bigint, masks array<bigint>, fp binary")
+
+
+def _masked(sketched: DataFrame, first: int = 0, end: int = TABLES) -> DataFrame:
+    """(mask, id, fp): a row for every body and table from first on, before end."""
+    return sketched.select(F.explode(F.slice("masks", first + 1, end - first)).alias("mask"), "id", "fp")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +351,23 @@ def _blocks_met(rows: DataFrame, blocks: str) -> DataFrame:
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """(a, b), a < b, distinct: representatives (id, body) that share a mask and enough slots; a written table."""
-    masked = _masked(reps)
-    sample = _masked(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
+    sketched = materialize(_sketched(reps), "dup-sketches", compression="zstd")
+    sample = _masked(sketched.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0))
     hot = materialize(sample.groupBy("mask").count().where(F.col("count") >= MAX_GROUP // SAMPLE).select("mask", F.ceil(F.col("count") * SAMPLE / MAX_GROUP * 2).cast("int").alias("blocks")), "dup-hot")
-    if hot.isEmpty():
-        rows = masked.select(F.col("mask").alias("grp"), F.lit(0).alias("blk"), "id", "fp")
-    else:
-        met = _blocks_met(masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
-        rows = met.select(F.when(F.col("hi") == 0, F.col("mask")).otherwise(F.xxhash64("mask", "lo", "hi")).alias("grp"), "blk", "id", "fp")
-    # One key of one number: Spark sorts it without comparing rows. Groups of equal hash would only be compared together.
-    rows = rows.repartition("grp").sortWithinPartitions("grp")
-    out = materialize(rows.mapInArrow(_joined, "a bigint, b bigint").distinct(), "dup-candidates")
-    release(hot)
+    some, parts = not hot.isEmpty(), []
+    for k in range(PASSES):
+        masked = _masked(sketched, TABLES * k // PASSES, TABLES * (k + 1) // PASSES)
+        if some:
+            met = _blocks_met(masked.join(hot, "mask", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks")
+            rows = met.select(F.when(F.col("hi") == 0, F.col("mask")).otherwise(F.xxhash64("mask", "lo", "hi")).alias("grp"), "blk", "id", "fp")
+        else:
+            rows = masked.select(F.col("mask").alias("grp"), F.lit(0).alias("blk"), "id", "fp")
+        # One key of one number: Spark sorts it without comparing rows. Groups of equal hash would only be compared together.
+        rows = rows.repartition("grp").sortWithinPartitions("grp")
+        parts.append(materialize(rows.mapInArrow(_joined, "a bigint, b bigint").distinct(), "dup-pass"))
+    release(sketched, hot)
+    out = materialize(reduce(DataFrame.unionByName, parts).distinct(), "dup-candidates")
+    release(*parts)
     return out
 
 

@@ -87,10 +87,23 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+#: Spark deletes the shuffle files of a query as soon as it has ended; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage, survives lost executors, prunes columns."""
+    """Write a frame to the shared folder and read it again: cuts lineage, survives lost executors, prunes columns.
+
+    Nothing else reads the shuffle files of the write, so they are deleted with its end.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     delete_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexweave_path = path

@@ -205,3 +205,33 @@ def test_grams_of_a_batch_equal_those_of_single_texts():
         assert [t[p : p + 3] for p in g[4]] == sorted((t[i : i + 3] for i in range(len(t) - 2)), key=lambda x: g[1][t.index(x)])
     assert got[0][2].tolist() == [0, 0, 0, 1, 1, 1, 2] and got[5][2].tolist() == [0, 1, 2, 3, 4]
     assert N.kept_share(got[0], got[0]) == 1.0 and N.kept_share(got[4], got[0]) == 0.0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_masks_are_shuffled_in_parts(spark, monkeypatch, hot):
+    """No stage shuffles the fingerprints of all tables, and all tables together still find every pair."""
+    if hot:  # every group split into blocks, which meet pairwise in every part
+        monkeypatch.setattr(N, "MAX_GROUP", 2)
+        monkeypatch.setattr(N, "SAMPLE", 1)
+    rows, want = make()
+    chars, starts = N.bodies(rows)
+    texts = ["".join(map(chr, chars[i:j])) for i, j in zip(starts[:-1], starts[1:])]
+    d = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "id bigint, body binary")
+    sc = spark.sparkContext._jsc.sc()
+    stages = lambda: sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    sc.listenerBus().waitUntilEmpty(30_000)
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    got = {(r.a, r.b) for r in N.candidate_pairs(d).collect()}
+    sc.listenerBus().waitUntilEmpty(30_000)
+    after = stages()
+    sent = [x.shuffleWriteRecords() for x in map(after.apply, range(after.size())) if x.stageId() not in known]
+    assert want <= got
+    if not hot:
+        assert 0 < max(sent) <= len(rows) * N.TABLES // 2
+
+
+def test_parts_of_the_tables_are_all_of_them(spark):
+    d = spark.createDataFrame([(7, list(range(N.TABLES)), bytearray(b"x"))], "id bigint, masks array<bigint>, fp binary")
+    edges = [N.TABLES * k // N.PASSES for k in range(N.PASSES + 1)]
+    got = [r["mask"] for i, j in zip(edges, edges[1:]) for r in N._masked(d, i, j).collect()]
+    assert got == [r["mask"] for r in N._masked(d).collect()] == list(range(N.TABLES))

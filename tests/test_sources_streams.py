@@ -111,3 +111,33 @@ def test_written_tables_go_with_the_application(spark, tmp_path, monkeypatch):
     d = runtime.materialize(spark.range(3), "one")
     p = spark._jvm.org.apache.hadoop.fs.Path(d._lexweave_path)
     assert p.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(p)
+
+
+def test_shuffle_files_go_with_the_write(spark, tmp_path, monkeypatch):
+    """They don't wait for the driver to collect its garbage; the session's own setting stays as it was."""
+    import time
+
+    from lexweave import runtime
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in map(lambda i: files.apply(i).getName(), range(files.size())) if n.startswith("shuffle_")}
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: tmp_path.as_uri())
+    before, own = shuffled(), spark.conf.get(runtime.CLEANUP, None)
+    many = spark.range(20_000).repartition(7, "id")
+    d = runtime.materialize(many.groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    for _ in range(20):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and d.count() == 1000 and spark.conf.get(runtime.CLEANUP, None) == own
+    for value in ("true", "false"):
+        spark.conf.set(runtime.CLEANUP, value)
+        runtime.materialize(many, "again")
+        assert spark.conf.get(runtime.CLEANUP) == value
+    with pytest.raises(Exception):
+        runtime.materialize(many.select(F.raise_error(F.lit("no"))), "broken")
+    assert spark.conf.get(runtime.CLEANUP) == "false"
+    spark.conf.unset(runtime.CLEANUP)
+    runtime.clear_written(spark)
